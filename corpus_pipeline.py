@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from seriesforge.llm.common import keep, table
 from seriesforge.llm.decontamination import decontaminate, leaks_sql
-from seriesforge.llm.line_dedup import dedup_lines, dedup_sql
+from seriesforge.llm.line_dedup import dedup_sql, without_frequent_lines
 from seriesforge.llm.mixing import COPIES_SQL, mix_sql, mixed
 from seriesforge.llm.ngram_join import join_sql, one_of_each
 from seriesforge.llm.quality_rules import keep_good, quality_sql
@@ -19,12 +19,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in many documents go; text is what is left, the other columns stay as they are."""
-    return dedup_lines(spark, docs).select(*docs.columns)
+    return without_frequent_lines(spark, docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays."""
-    return one_of_each(spark, docs).select(*docs.columns)
+    return one_of_each(spark, docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,16 +38,22 @@ def frequent_lines(spark: SparkSession, docs: DataFrame, min_docs: int = MIN_DOC
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, min_docs: int = MIN_DOCS, min_key: int = MIN_KEY) -> DataFrame:
-    """docs with text replaced by the kept lines, and n_lines, n_dropped added."""
-    hot = frequent_lines(spark, docs, min_docs, min_key)
-    joined = docs.join(sized(hot), docs["doc_id"].eqNullSafe(hot["in_doc"]), "left")
+    """docs with text replaced by the kept lines, and n_lines, n_dropped added (columns of these names give way)."""
+    hot = frequent_lines(spark, docs, min_docs, min_key).select(F.col("in_doc").alias("in_doc__"), F.col("hot").alias("hot__"))
+    joined = docs.join(sized(hot), docs["doc_id"].eqNullSafe(hot["in_doc__"]), "left")
     lines = lines_of(docs["text"])
-    kept = F.when(F.col("hot").isNull(), lines).otherwise(
-        F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("hot"), line_hash(x, min_key)), F.lit(False))))
-    cols = [docs[c] for c in docs.columns if c != "text"]
-    return joined.select(*cols, F.size(lines).cast("long").alias("n_lines"), kept.alias("kept__")).select(
-        *[c for c in docs.columns if c != "text"], F.array_join("kept__", "\n").alias("text"), "n_lines",
-        (F.col("n_lines") - F.size("kept__")).cast("long").alias("n_dropped"))
+    kept = F.when(F.col("hot__").isNull(), lines).otherwise(
+        F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("hot__"), line_hash(x, min_key)), F.lit(False))))
+    rest = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
+    named = joined.select(*[docs[c] for c in rest], F.size(lines).cast("long").alias("n_lines"), kept.alias("kept__"))
+    return named.select(*rest, F.array_join("kept__", "\n").alias("text"), "n_lines", (F.col("n_lines") - F.size("kept__")).cast("long").alias("n_dropped"))
+
+
+def without_frequent_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs, all columns as they are, with text replaced by the kept lines."""
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("row__")
+    done = dedup_lines(spark, docs.select("doc_id", "text", whole))
+    return done.select(*[F.col("text").alias("text") if c == "text" else F.col("row__")[c].alias(c) for c in docs.columns])
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

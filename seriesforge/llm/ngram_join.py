@@ -204,21 +204,23 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs with one row for each component: that of the smallest doc_id (of rows that repeat it, the first by text)."""
-    found = keep(spark, jaccard_components(spark, docs), "join-found")
-    drop = keep(spark, found.where("n_shingles > 0 AND component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct(), "join-gone")
-    kept = docs.join(sized(drop), docs["doc_id"].eqNullSafe(drop["gone"]), "left_anti")
-    twice = keep(spark, kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"), F.min("text").alias("least")).where("c > 1"), "join-twice") if _repeats(found) else None
-    if twice is None:
-        return kept
-    t = twice.select(F.col("doc_id").alias("again"), "least")
-    once = kept.join(sized(twice), "doc_id", "left_anti").select(*docs.columns)
-    some = kept.join(sized(t), kept["doc_id"].eqNullSafe(F.col("again"))).where(F.col("text").eqNullSafe(F.col("least"))).select(*docs.columns).dropDuplicates(["doc_id"])
-    return once.unionByName(some)
-
-
-def _repeats(found: DataFrame) -> bool:
-    return bool(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count())
+    """docs with one row of each component: that of the smallest doc_id.
+
+    Of rows that repeat a doc_id the one with the least text stays; rows without doc_id stay as they are.
+    """
+    whole = docs.select(docs["doc_id"].alias("id__"), F.struct(*[docs[c] for c in docs.columns]).alias("row__"))
+    counts = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"))
+    odd = counts.agg(F.max(F.when(F.col("doc_id").isNotNull(), F.col("c"))).alias("most"), F.max(F.col("doc_id").isNull().cast("int")).alias("nulls")).first()
+    unnamed = whole.where("id__ IS NULL")
+    if odd["nulls"]:
+        whole = whole.where("id__ IS NOT NULL")
+    if (odd["most"] or 0) > 1:
+        whole = keep(spark, whole.groupBy("id__").agg(F.min_by("row__", F.struct(F.col("row__.text"), F.xxhash64("row__"))).alias("row__")), "join-once")
+    found = jaccard_components(spark, whole.select(F.col("id__").alias("doc_id"), F.col("row__.text").alias("text")))
+    drop = keep(spark, found.where("n_shingles > 0 AND component_id <> doc_id").select(F.col("doc_id").alias("gone__")).distinct(), "join-gone")
+    kept = whole.join(sized(drop), whole["id__"] == drop["gone__"], "left_anti")
+    kept = kept.unionByName(unnamed) if odd["nulls"] else kept
+    return kept.select("row__.*")
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
