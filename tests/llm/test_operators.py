@@ -1,0 +1,234 @@
+"""Corpus operators on small fixtures: SQL, brute force, nulls, empty and very long texts, ties, repeated rows, clashing columns."""
+
+import hashlib
+import html
+import re
+from collections import Counter, defaultdict
+
+import pytest
+from conftest import DATA, rows
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from seriesforge import llm
+from seriesforge.llm import decontamination, html_extraction, line_dedup, mixing, ngram_join, pii, quality_rules, rule_ensemble, toxicity, url_filters
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LONG = " ".join(f"w{i % 5000}" for i in range(60_000))
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, hot string, row long, n_words long, at_source string, rate double, node long"
+
+
+def docs(spark, texts, **named):
+    made = []
+    for i, t in enumerate(texts):
+        row = {"doc_id": i, "text": t, "lang": "en", "source": f"s{i % 2}", "n_chars": len(t or ""), "h": "x", "hot": "y", "row": 1, "n_words": 5, "at_source": "q", "rate": 1.0, "node": 3}
+        row.update({k: v[i] for k, v in named.items()})
+        made.append(tuple(row.values()))
+    return spark.createDataFrame(made, SCHEMA)
+
+
+def odd_docs(spark):
+    """Nulls in every column, empty, blank and very long texts, repeated rows, a repeated id."""
+    base = "the quick brown fox jumps over the lazy dog while many small birds sing in the old green tree by the river "
+    texts = [None, "", " \n\t ", LONG, base * 4, base * 4, base * 4, "one", "one two", "É É É\nÉ", base * 2 + "mail me a.b@c.de now", base]
+    df = docs(spark, texts, doc_id=[0, 1, 2, 3, 4, 5, 5, 7, 8, None, 10, 11], source=[None, "a", "a", "b", "b", "b", "b", None, "", "a", "a", "b"])
+    return df.union(df.where("doc_id = 4")).union(spark.createDataFrame([(None,) * 12], SCHEMA))
+
+
+@pytest.mark.parametrize("name", sorted(llm.ORACLES))
+def test_against_sql(spark, oracle, name):
+    assert rows(llm.QUERIES[name](spark, DATA)) == oracle(llm.ORACLES[name], DATA)
+
+
+def test_pipeline_against_sql(spark, oracle):
+    assert rows(corpus_pipeline.run(spark, DATA)) == oracle(corpus_pipeline.ORACLE_SQL, DATA)
+
+
+def test_pipeline_stages_keep_columns(spark):
+    for df in (odd_docs(spark), odd_docs(spark).limit(0)):
+        out = df
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, out, DATA)
+            assert out.columns == df.columns, name
+            out.collect()
+
+
+@pytest.mark.parametrize("n", [0, 99])
+def test_odd_tables(spark, n):
+    d = odd_docs(spark).limit(n)
+    size = d.count()
+    items = spark.createDataFrame([(1, None), (2, ""), (3, "one two"), (4, "the quick brown fox jumps over the lazy dog")], "item_id long, text string")
+    assert decontamination.leaks(spark, d, items).where("item_id <> 4").count() == 0
+    assert decontamination.leaks(spark, d, items.limit(0)).count() == 0
+    for run in (lambda x: ngram_join.jaccard_components(spark, x), lambda x: quality_rules.judge(spark, x), lambda x: pii.report(pii.find(spark, x)), lambda x: mixing.mix_plan(spark, x),
+                lambda x: line_dedup.dedup_lines(spark, x), lambda x: rule_ensemble.score(x, rule_ensemble.RuleEnsemble([], 0.0)), lambda x: toxicity.tagged(x, toxicity.train([], []))):
+        assert run(d).count() == size
+
+
+def test_leaks_partly_and_in_long_texts(spark):
+    item = " ".join(f"q{i}" for i in range(30))  # 26 shingles
+    one, two = item.replace("q15", "zz"), item.replace("q10", "zz").replace("q20", "zz")
+    got = rows(decontamination.leaks(spark, docs(spark, [LONG + " " + item.upper() + " " + LONG, one, two, LONG + " " + one]), spark.createDataFrame([(7, item)], "item_id long, text string")).select("doc_id", "n_shared"))
+    assert got == [(0, 26), (1, 21), (3, 21)]
+    assert 21 / 26 >= 0.8 > 16 / 26
+
+
+def brute_components(texts):
+    sets = []
+    for t in texts:
+        w = WORD.findall((t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+        sets.append(frozenset(tuple(w[i:i + 3]) for i in range(max(1, len(w) - 2))) if w else frozenset())
+    up = list(range(len(sets)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j]):
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    return [(root(i), i, len(s)) for i, s in enumerate(sets)]
+
+
+def test_join_against_brute_force(spark):
+    import random
+    r = random.Random(4)
+    texts = [None, "", "a", "A", "a b", "a b", "É x y z"]
+    for base in range(6):
+        words = [f"v{r.randrange(900)}" for _ in range(r.choice([8, 15, 40, 120, 400, 1500]))]
+        for _ in range(14):
+            w = list(words)
+            for _ in range(r.randrange(0, max(2, len(w) // 25))):
+                w[r.randrange(len(w))] = f"n{r.randrange(10**6)}"
+            texts.append(" ".join(w))
+    got = rows(ngram_join.jaccard_components(spark, docs(spark, texts)).select("component_id", "doc_id", F.col("n_shingles")))
+    assert got == sorted(brute_components(texts), key=repr)
+
+
+def test_quality_and_mixing_edges(spark):
+    got = {r["doc_id"]: r for r in quality_rules.judge(spark, docs(spark, [None, "a b c a b c x", "# $\n# $\n \n", LONG])).collect()}
+    assert (got[1]["n_repeat_words"], got[2]["n_symbols"], got[2]["n_dup_lines"], got[3]["base_failed"]) == (6, 4, 1, True)
+    plan = mixing.mix_plan(spark, docs(spark, ["a " * 100] * 40, source=[f"s{i % 4}" for i in range(40)])).collect()
+    share = {r["target"] for r in plan}
+    assert max(share) <= 2 * 1000 and all(r["taken"] <= 2 * r["size"] for r in plan)
+    assert abs(sum({i % 4: r["target"] for i, r in enumerate(sorted(plan, key=lambda r: r["doc_id"]))}.values()) - 6000) < 1e-6
+    bad = docs(spark, ["x y"] * 30 + ["word%d other%d " % (i, i) * 1 + " ".join(f"u{i}k{j}" for j in range(60)) for i in range(30)], source=["bad"] * 30 + ["good"] * 30)
+    verdict = {r["doc_id"]: r["kept"] for r in quality_rules.judge(spark, bad).collect()}
+    assert not any(verdict[i] for i in range(30)) and all(verdict[i] for i in range(30, 60))
+
+
+def test_line_dedup_positions(spark):
+    df = docs(spark, [f"  Shared Line \nown {i}\n\nshared line\nend" for i in range(10)] + ["shared line"])
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark, df).collect()}
+    assert got[3]["text"] == "own 3\n" and (got[3]["n_lines"], got[3]["n_dropped"]) == (5, 3) and got[10]["text"] == ""
+
+
+def base_spans(t):
+    def luhn(d):
+        return sum(int(c) if i % 2 == 0 else (int(c) * 2 - 9 if int(c) > 4 else int(c) * 2) for i, c in enumerate(reversed(d))) % 10 == 0
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    kinds = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(p) <= 255 for p in s.split("."))),
+             ("card", r"[0-9]([\x20-]?[0-9])+", lambda s: 16 <= len(digits(s)) <= 19 and luhn(digits(s))), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 8 <= len(digits(s)) <= 15)]
+    return ",".join(f"{k}:{m.start()}:{m.end()}" for k, p, ok in kinds for m in re.finditer(p, t or "") if ok(m[0]))
+
+
+def test_pii_against_brute_force(spark):
+    texts = ["😀 a@b.c%x@d.e a.b+c@d-e.f.g. @x.y a@b", "1.2.3.4.5.6.7.8 256.1.1.1 0001.2.3.255 1.2.3", "4111 1111 1111 1111 and 4111-1111-1111-1112 " + "9" * 20_000, "+1 (499) 555-6503. +1 2 +49.30.123456789 +12345678901234567",
+             None, "", "a" * 30_000 + "@", "é@é.é x\x01y\x02 q@w.ee"] + [r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    got = {r["doc_id"]: r for r in pii.report(pii.find(spark, docs(spark, texts))).collect()}
+    for i, t in enumerate(texts):
+        want = base_spans(t)
+        assert got[i]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest(), (i, want, got[i]["spans"])
+        assert got[i]["spans"] == want or got[i]["spans"].startswith(want) and "term" in got[i]["spans"]
+
+
+def test_pii_terms(spark):
+    """A code word that is only ever near one address gives it away; a common word does not."""
+    texts = [f"filler{i} talk{i} zebracorn wrote to boss@corp.example today{i} and the other{i}" for i in range(6)] + [f"the other thing number {i} is plain and the rest too " * 6 for i in range(60)]
+    d = docs(spark, texts)
+    found = pii.find(spark, d)
+    got = {r["doc_id"]: r["spans"] for r in pii.report(found).collect()}
+    at = texts[0].index("zebracorn")
+    assert f"term:{at}:{at + 9}" in got[0] and got[10] == ""
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(found, d).collect()}
+    assert "zebracorn" not in clean[0] and "[EMAIL]" in clean[0] and clean[10] == texts[10] and len(clean) == len(texts)
+
+
+@pytest.mark.parametrize("query,label,least", [("op3_quality_classifier", "quality", 0.97), ("op9_toxicity", "toxic", 0.93)])
+def test_held_out_accuracy(spark, query, label, least):
+    sf = "/root/testdata/sf0.01"
+    out = llm.QUERIES[query](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").select("predicted", label, "score").collect()
+    assert len(out) > 30 and all(0 <= r["score"] <= 1 for r in out)
+    assert sum(r["predicted"] == r[label] for r in out) / len(out) >= least
+
+
+def test_field_marginals_against_enumeration():
+    import itertools
+    import math
+    f = toxicity.Field({}, 0.0, [[0.7, -0.2], [0.1, 0.9]], 1.0, 0.0)
+    odds = [0.3, 2.0, 0.1, 5.0]
+    total, toxic = 0.0, [0.0] * 4
+    for tags in itertools.product((0, 1), repeat=4):
+        v = math.prod(o if t else 1 for o, t in zip(odds, tags)) * math.exp(sum(f.move[a][b] for a, b in zip(tags, tags[1:])))
+        total += v
+        toxic = [x + v * t for x, t in zip(toxic, tags)]
+    assert all(abs(a - b / total) < 1e-12 for a, b in zip(f.marginals(odds), toxic))
+
+
+def test_rules_compile_to_the_same_scores(spark):
+    import numpy as np
+    r = np.random.default_rng(1)
+    x = r.random((400, 2))
+    y = ((x[:, 0] > 0.5) & (x[:, 1] <= 0.7)).astype(float)
+    m = rule_ensemble.RuleEnsemble.fit(x, y, ("p", "q"))
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in x], "p double, q double").select(m.column().alias("s"))
+    s = np.array([row["s"] for row in df.collect()])
+    assert ((s >= 0.5) == (y == 1)).mean() > 0.97 and 0 < len(m.rules) < 120
+
+
+def brute_verdicts(url, rules):
+    m = re.search(r"://([^/?#]*)([^?#]*)", url or "")
+    host, path = (m[1].translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")), m[2]) if m else ("", "")
+    fit = [(len(h + p), v, h + p) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return (host, path, max(fit)[2] if fit else None, max(fit)[1] if fit else "allow")
+
+
+def test_urls_against_brute_force(spark):
+    import random
+    r = random.Random(2)
+    label = lambda: r.choice(["a", "b", "a-b", "www", "com", "É"])
+    rules = {(".".join(label() for _ in range(r.randrange(1, 4))), r.choice(["", "/", "/x", "/x/", "/y/z"])): r.choice(["allow", "block"]) for _ in range(40)}
+    rules = [(h, p, v) for (h, p), v in rules.items()]
+    urls = [None, "", "no scheme", "http://", "x://A.B", "://a/x?y", "http://a.b/x#://c/d"] + ["http://" + ".".join(label() for _ in range(r.randrange(1, 6))) + r.choice(["", "/", "/x", "/x/1?q=/y", "/y/z#a", "/xx"]) for _ in range(400)]
+    df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
+    got = {row["page_id"]: (row["host"], row["path"], row["rule"], row["verdict"]) for row in url_filters.filter_urls(spark, df, url_filters.rules_table(spark, rules)).collect()}
+    assert got == {i: brute_verdicts(u, rules) for i, u in enumerate(urls)}
+    assert url_filters.filter_urls(spark, df.limit(0), url_filters.rules_table(spark)).count() == 0
+
+
+def test_pages_against_article(spark):
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
+    for r in llm.QUERIES["op10_html_extraction"](spark, DATA).collect():
+        inside = re.search(r"<article>(.*?)</article>", pages[r["page_id"]], re.S)[1]
+        blocks = [re.sub(r"[\x20\x09-\x0D]+", " ", html.unescape(re.sub(r"<[^>]*>", "", b))).strip(" ") for b in re.split(r"</?p>|</?h1>", inside)]
+        assert r["text"] == "\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
+
+
+def test_page_regions(spark):
+    page = ('<title>t</title><body><div id="sidebar"><p>side</p></div><header>head</header><div class="content"><h2>A &lt;i</h2><p>one <b>two</b> three<br>four<ul><li>a<li>b</ul>'
+            '<form><p>no</p></form><section class="comments"><p>c</p></section></div><div class="footer-area">z</div><script>var a="<p>x</p>"</script>')
+    df = spark.createDataFrame([(1, "http://h/1", page), (2, None, None), (3, "x", ""), (4, "http://h/2", "plain < text &amp; <p>" + "long " * 30_000), (4, "http://h/2", "a")], "page_id long, url string, html string")
+    got = defaultdict(list)
+    for r in html_extraction.main_texts(spark, df).collect():
+        got[r["page_id"]].append(r["text"])
+    assert got[1] == ["A <i\none two three four\na\nb"] and got[2] == got[3] == [""] and sorted(map(len, got[4]))[0] == 1
+    assert Counter(len(v) for v in got.values())[2] == 1 and html_extraction.main_texts(spark, df.limit(0)).count() == 0
+
+
+def test_template_text_goes(spark):
+    """A run that stands on every page of a host is template; the same page elsewhere keeps it."""
+    made = [(i, f"http://host/{i}", f"<div><div>Welcome to our site</div><p>story {i} text</p></div>") for i in range(8)] + [(99, "http://other/", "<div><div>Welcome to our site</div><p>x</p></div>")]
+    got = {r["page_id"]: r["text"] for r in html_extraction.main_texts(spark, spark.createDataFrame(made, "page_id long, url string, html string")).collect()}
+    assert got[3] == "story 3 text" and got[99] == "Welcome to our site\nx"
