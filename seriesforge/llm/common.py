@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A table is sent to every executor only after its rows were counted and are no more than this.
-BROADCAST_ROWS = 200_000
+#: A table is sent to every executor only after its rows were counted, and measured as JSON, and are no more than this.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 _scratch: list[tuple[SparkSession, str]] = []
 
@@ -78,15 +78,9 @@ def _clean() -> None:
             return
 
 
-def sized(kept: DataFrame, rows: int | None = None) -> DataFrame:
-    """Mark a kept (written) table for broadcast if its counted rows stay within BROADCAST_ROWS."""
-    rows = kept.count() if rows is None else rows
-    return F.broadcast(kept) if rows <= BROADCAST_ROWS else kept
-
-
-def same(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]]) -> Column:
-    """Null-safe equality of key columns."""
-    cond = F.lit(True)
-    for a, b in keys:
-        cond = cond & left[a].eqNullSafe(right[b])
-    return cond
+def sized(kept: DataFrame) -> DataFrame:
+    """Mark a kept (written) table for broadcast if its rows stay within BROADCAST_ROWS and BROADCAST_BYTES."""
+    if kept.count() > BROADCAST_ROWS:
+        return kept
+    size = kept.agg(F.sum(F.length(F.to_json(F.struct("*")))).alias("size")).first()["size"]
+    return F.broadcast(kept) if (size or 0) <= BROADCAST_BYTES else kept

@@ -51,7 +51,7 @@ def candidates(spark: SparkSession, docs: DataFrame, sketches: DataFrame, thresh
     cut = F.greatest(*[F.when(sizes >= F.lit(threshold * p["least"]), F.lit(p["cut"])) for p in parts], F.lit(None).cast("long")) if parts else F.lit(None).cast("long")
     hashed = docs.select(F.col("doc_id").alias("cand_doc"), shingle_hashes(F.col("text"), n).alias("hs"))
     probes = hashed.select("cand_doc", sizes.alias("n_doc"), cut.alias("cut"), F.explode("hs").alias("h")).where(F.col("h") <= F.col("cut"))
-    sk = sized(sketches.select(F.col("item_id").alias("cand_item"), "n_item", "h"), sketches.count())
+    sk = sized(sketches.select(F.col("item_id").alias("cand_item"), "n_item", "h"))
     found = probes.join(sk, "h").where(F.col("n_doc") >= F.lit(threshold) * F.col("n_item") - 1e-9)
     return keep(spark, found.select("cand_doc", "cand_item").distinct(), "leak-candidates")
 
@@ -62,9 +62,9 @@ def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, threshold: flo
     cand = candidates(spark, docs, item_sketches(spark, items, threshold, n), threshold, n)
     ids = keep(spark, cand.select("cand_doc").distinct(), "leak-docs")
     read = docs.join(sized(ids), docs["doc_id"].eqNullSafe(ids["cand_doc"]), "left_semi").select("doc_id", shingle_texts(F.col("text"), n).alias("in_doc"))
-    whole = items.select("item_id", shingle_texts(F.col("text"), n).alias("in_item")).distinct()
+    whole = keep(spark, items.select("item_id", shingle_texts(F.col("text"), n).alias("in_item")).distinct(), "leak-items")
     c = sized(cand)
-    pairs = read.join(c, read["doc_id"].eqNullSafe(c["cand_doc"])).join(sized(whole, items.count()), F.col("cand_item").eqNullSafe(F.col("item_id")))
+    pairs = read.join(c, read["doc_id"].eqNullSafe(c["cand_doc"])).join(sized(whole), F.col("cand_item").eqNullSafe(F.col("item_id")))
     counted = pairs.select("doc_id", "item_id", F.size("in_item").cast("long").alias("n_item"), F.size(F.array_intersect("in_item", "in_doc")).cast("long").alias("n_shared"))
     best = counted.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_shared", "n_item")).alias("b")).select("doc_id", "item_id", "b.n_item", "b.n_shared")
     return best.where(F.col("n_shared") >= F.lit(threshold) * F.col("n_item") - 1e-9).withColumn("containment", F.col("n_shared") / F.col("n_item"))

@@ -1,11 +1,11 @@
 """HTML extraction by equivalence classes of tokens on pages of the same host.
 
 Pass 1 turns every page into tokens: a tag with its path of block elements, or a text run outside the main region with
-its path.  Each page sends (host, token, count on the page); summing a hash of (page, count) gives every token a digest
-of its occurrence vector, so tokens with equal vectors over all pages of the host fall into one class without
-gathering a host anywhere.  The root class holds the tokens found once on every page; classes that occur more often nest
-inside it by their paths.  A class is valid with at least MIN_PAGES pages of the host behind it and, for text runs, if
-it belongs to the root class.  The template of a host is its valid tokens: what they leave open are the slots.
+its path.  Each page sends (host, token, count on the page); summing both halves of a hash of (page, count) gives every
+token a digest of its occurrence vector, so tokens with equal vectors over all pages of the host fall into one class
+without gathering a host anywhere.  The root class holds the tokens found once on every page, classes found k times on every
+page nest in it, and a class with another vector nests in the element whose tag is one of its members.  A text run is
+template if it is in such a class with at least MIN_PAGES pages behind it; what the template leaves open are the slots.
 
 Pass 2 reads each page against its host's template: tags and template texts go, and of the slots those stay that lie in
 the main region: inside article or main where the page has one, and never inside a menu, header, footer, sidebar, notice,
@@ -89,8 +89,6 @@ def parse(page: str) -> tuple[list[tuple[str, _Frame, str]], bool]:
                 out.append(("block", stack[-1], name))
             continue
         if name in _INLINE:
-            if name not in ("br", "wbr") and not m[1] and _hinted(m[3]):
-                pass
             if name == "br":
                 out.append(("text", stack[-1], " "))
             continue
@@ -156,26 +154,30 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            rows = [(h, k, n, xxhash.xxh3_64_intdigest(f"{i}:{n}") >> 16) for h, i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist())
+            rows = [(h, *k.partition(" ")[::2], n, xxhash.xxh3_64_intdigest(f"{i}:{n}")) for h, i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist())
                     for k, n in ((("", 1),) if not t else (("", 1), *page_tokens(t).items()))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64()),
-                                              pa.array([r[3] for r in rows], pa.int64())], names=["host", "token", "n", "v"])
+            yield pa.RecordBatch.from_arrays([*[pa.array([r[c] for r in rows], pa.string()) for c in range(3)], pa.array([r[3] for r in rows], pa.int64()),
+                                              pa.array([r[4] >> 32 for r in rows], pa.int64()), pa.array([r[4] & 0xFFFFFFFF for r in rows], pa.int64())], names=["host", "path", "mark", "n", "high", "low"])
 
 
 def templates(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """(at_host, template array<string>): valid tokens of each host with at least MIN_PAGES pages; written.
+    """(at_host, template array<string>): the text runs of the template of each host with at least MIN_PAGES pages; written.
 
-    The empty token occurs once on every page: its class is the root class.  Vector digests are sums modulo 2^64.
+    A token is a path and a mark: `#digest` of a text run, else a tag.  The token without either occurs once on every page:
+    its class is the root class.  Halves of 32 bits are summed, so a host may have four billion pages.
     """
-    seen = pages.select("host", F.xxhash64("page_id", "html").alias("p"), "html").mapInArrow(_occurrences, "host string, token string, n long, v long")
-    vectors = keep(spark, seen.groupBy("host", "token").agg(F.count(F.lit(1)).alias("pages"), F.sum("n").alias("total"), F.sum("v").alias("vector")), "html-vectors")
-    roots = vectors.where("token = ''").select(F.col("host").alias("h"), F.col("pages").alias("all_pages"), F.col("vector").alias("root")).where(F.col("all_pages") >= MIN_PAGES)
+    seen = pages.select("host", F.xxhash64("page_id", "html").alias("p"), "html").mapInArrow(_occurrences, "host string, path string, mark string, n long, high long, low long")
+    vectors = keep(spark, seen.groupBy("host", "path", "mark").agg(F.count(F.lit(1)).alias("pages"), F.min("n").alias("least"), F.max("n").alias("most"),
+                                                                   F.struct(F.sum("high").alias("high"), F.sum("low").alias("low")).alias("vector")), "html-vectors")
+    roots = vectors.where("mark = '' AND path = ''").select(F.col("host").alias("h"), F.col("pages").alias("all_pages")).where(F.col("all_pages") >= MIN_PAGES)
     roots = keep(spark, roots, "html-roots")
-    classes = vectors.where("token <> '' AND pages >= 2").join(sized(roots), F.col("host").eqNullSafe(F.col("h")))
-    is_text = F.contains("token", F.lit(" #"))
-    valid = (F.col("pages") >= MIN_PAGES) & (~is_text | (F.col("vector") == F.col("root")))
-    # Only text runs decide slots below; tag classes are the same for all hosts that share a path.
-    return keep(spark, classes.where(valid & is_text).groupBy(F.col("host").alias("at_host")).agg(F.collect_set("token").alias("template")), "html-templates")
+    texts = vectors.where(F.startswith("mark", F.lit("#")) & (F.col("pages") >= MIN_PAGES)).join(sized(roots), F.col("host").eqNullSafe(F.col("h")))
+    opened = vectors.where((F.col("mark") != "") & (F.col("mark") == F.substring_index("path", "/", -1)) & (F.col("pages") >= MIN_PAGES))
+    opened = opened.select(F.col("host").alias("in_host"), F.col("path").alias("in_path"), F.col("vector").alias("tag_vector"))
+    classed = texts.join(opened, F.col("host").eqNullSafe(F.col("in_host")) & (F.col("path") == F.col("in_path")), "left")  # one tag a path
+    every_page = (F.col("pages") == F.col("all_pages")) & (F.col("least") == F.col("most"))
+    valid = every_page | F.coalesce(F.col("vector") == F.col("tag_vector"), F.lit(False))
+    return keep(spark, classed.where(valid).groupBy(F.col("host").alias("at_host")).agg(F.collect_set(F.concat_ws(" ", "path", "mark")).alias("template")), "html-templates")
 
 
 def main_texts(spark: SparkSession, pages: DataFrame) -> DataFrame:

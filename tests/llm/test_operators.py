@@ -232,3 +232,21 @@ def test_template_text_goes(spark):
     made = [(i, f"http://host/{i}", f"<div><div>Welcome to our site</div><p>story {i} text</p></div>") for i in range(8)] + [(99, "http://other/", "<div><div>Welcome to our site</div><p>x</p></div>")]
     got = {r["page_id"]: r["text"] for r in html_extraction.main_texts(spark, spark.createDataFrame(made, "page_id long, url string, html string")).collect()}
     assert got[3] == "story 3 text" and got[99] == "Welcome to our site\nx"
+
+
+def test_nested_template_text_goes(spark):
+    """Found once in each element of a list of any length, or twice on every page: template; a text that only some elements have is not."""
+    made = [(i, f"http://host/{i}", "<div>Top</div>" + "".join(f"<li>Shared by <p>reader {i} {k}</p></li>" for k in range(1 + i % 3)) + "<ul><h4>Same words</h4></ul>" * (i % 2) + "<h4>own</h4>" + "<div>Top</div>") for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in html_extraction.main_texts(spark, spark.createDataFrame(made, "page_id long, url string, html string")).collect()}
+    assert got[4] == "reader 4 0\nreader 4 1"
+
+
+def test_broadcasts_are_bounded(spark, monkeypatch):
+    from seriesforge.llm import common
+    small = common.keep(spark, spark.range(9).selectExpr("id", "array_repeat(id, 50) AS a"), "bounded")
+    hinted = lambda df: "hint" in df._jdf.queryExecution().logical().toString().lower()
+    assert hinted(common.sized(small))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 100)
+    assert not hinted(common.sized(small))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 8)
+    assert not hinted(common.sized(small))
