@@ -16,6 +16,9 @@ from .functions.hydra import Hydra, SparseScaler
 from .operators import dataset as D
 from .operators import forest
 from .operators import neighbours as N
+from .plans import grids
+from .sources import files
+from .sources.scratch import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -216,6 +219,77 @@ _add("profile", _profile, f"""WITH {_PAIRS}, e AS (SELECT label, unnest(v) AS x
 c AS (SELECT s.label, round(avg({_zip_sum('abs(#a - #b)')}), 6) AS mean_1, round(avg({_zip_sum('(#a - #b) * (#a - #b)')}), 6) AS mean_2, round(avg({_zip_sum('sqrt(abs(#a - #b))')}), 6) AS mean_05 FROM p JOIN s ON s.series_id = p.id_a GROUP BY s.label)
 SELECT n.label, n.n, st.mean, st.stddev, c.mean_1, c.mean_2, c.mean_05 FROM (SELECT label, count(*) AS n FROM s GROUP BY label) n JOIN st USING (label) LEFT JOIN c USING (label)""")
 
+# Sampling, votes, probabilities, grids and round trips
+
+
+def _ts_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "ts")
+    files.write_ts(D.embedding_series(spark, sf_dir), path, "embeddings")
+    return D.points(files.read_ts(spark, path)[0], "values", "label").select("label", F.col("pos").cast("long").alias("pos"), _r("value").alias("value"))
+
+
+def _csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "csv")
+    D.event_series(spark, sf_dir).select(F.concat_ws(",", F.col("series_id").cast("string"), F.transform("values", lambda x: x.cast("string")))).write.text(path)
+    return D.points(files.read_csv(spark, path), "values", "label").select(F.col("label").cast("long").alias("label"), F.col("pos").cast("long").alias("pos"), _r("value").alias("value"))
+
+
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = grids.by_name("d1-ED1NN")
+    series = D.with_transform(D.embedding_series(spark, sf_dir), "values", C.derivative)
+    found = N.nearest(series, series, c["distance"], [c["params"]], exclude_self=True)
+    return found.select("series_id", "nn_id", _r("nn_dist").alias("nn_dist"))
+
+
+def _group(series: DataFrame) -> DataFrame:
+    return series.withColumn("series_id", F.pmod("series_id", F.lit(40)))
+
+
+def _grid(grid: list[dict]) -> Query:
+    names = sorted(grid[0])
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = [(i, *[float(g[n]) for n in names]) for i, g in enumerate(grid)]
+        return spark.createDataFrame(rows, "param long, " + ", ".join(f"{n} double" for n in names)).select("param", *[_r(n).alias(n) for n in names])
+    return query
+
+
+_add("ts_round_trip", _ts_round_trip, f"WITH {_SERIES} SELECT label, unnest(range(len(v))) AS pos, round(unnest(v), 6) AS value FROM s")
+_add("csv_round_trip", _csv_round_trip, f"WITH {_EVENTS} SELECT series_id AS label, unnest(range(len(v))) AS pos, round(unnest(v), 6) AS value FROM s")
+_add("stratified_subset", lambda s, d: D.stratified_subset(D.embedding_series(s, d), 0.2, 5, 42).select("series_id", "label"),
+     f"WITH {_SERIES}, r AS (SELECT label, series_id, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || series_id)) AS k FROM s) SELECT series_id, label FROM r ORDER BY k, label LIMIT (SELECT greatest(CAST(floor(0.2 * count(*)) AS BIGINT), 5) FROM s)")
+_add("bag", lambda s, d: D.bag(D.embedding_series(s, d), 50, 42).select("series_id"), f"WITH {_SERIES} SELECT series_id FROM s ORDER BY md5('42:' || series_id) LIMIT 50")
+_add("first_seen_labels", lambda s, d: D.first_seen_labels(D.embedding_series(s, d), "series_id").select("label", F.col("code").cast("long").alias("code")),
+     f"WITH {_SERIES} SELECT label, CAST(row_number() OVER (ORDER BY min(series_id), label) - 1 AS BIGINT) AS code FROM s GROUP BY label")
+# The train side of a fold whose test ids are the multiples of three.
+_add("fold_train", lambda s, d: D.complement(D.embedding_series(s, d), D.embedding_series(s, d).where("series_id % 3 = 0")).select("series_id", "label"),
+     f"WITH {_SERIES} SELECT series_id, label FROM s WHERE series_id % 3 <> 0")
+_add("majority_vote", lambda s, d: N.majority_vote(_group(D.embedding_series(s, d)).select("series_id", "label")).select("series_id", "label", "n"),
+     f"WITH {_SERIES}, n AS (SELECT series_id % 40 AS series_id, label, count(*) AS n FROM s GROUP BY ALL) SELECT series_id, arg_min(label, struct_pack(m := -n, l := label)) AS label, max(n) AS n FROM n GROUP BY series_id")
+_add("weighted_average", lambda s, d: D.points(N.weighted_average(_group(D.embedding_series(s, d).withColumn("weight", F.lit(1.0) + F.col("series_id") % 5)).select("series_id", F.slice("values", 1, 4).alias("probabilities"), "weight")), "probabilities")
+     .select("series_id", F.col("pos").cast("long").alias("pos"), _r("value").alias("value")),
+     f"WITH {_SERIES}, e AS (SELECT series_id % 40 AS series_id, 1 + series_id % 5 AS w, unnest(range(4)) AS pos, unnest(v[1:4]) AS p FROM s) SELECT series_id, pos, round(sum(p * w) / sum(w), 6) AS value FROM e GROUP BY series_id, pos")
+_add("smooth_probabilities", lambda s, d: D.class_counts(D.embedding_series(s, d), D.embedding_series(s, d)).select("label", F.posexplode(C.smooth_probabilities(F.col("n"), 4, 1)).alias("pos", "value"))
+     .select("label", F.col("pos").cast("long").alias("pos"), _r("value").alias("value")),
+     f"WITH {_SERIES}, n AS (SELECT label, count(*) AS n FROM s GROUP BY label) SELECT label, pos, round((1 + CASE WHEN pos = 1 THEN n ELSE 0 END)::DOUBLE / (4 + n), 6) AS value FROM n, range(4) t(pos)")
+_add("most_probable", lambda s, d: D.embedding_series(s, d).select("series_id", F.explode(C.most_probable(F.transform("values", lambda x: F.floor(x * 4).cast("double")))).alias("pos")).select("series_id", F.col("pos").cast("long").alias("pos")),
+     f"WITH {_SERIES}, e AS (SELECT series_id, unnest(range(len(v))) AS pos, floor(unnest(v) * 4) AS x FROM s), m AS (SELECT *, max(x) OVER (PARTITION BY series_id) AS top FROM e) SELECT series_id, pos FROM m WHERE x = top")
+_add("nn1_d1_ed", _named, _ED.replace(_SERIES, _SERIES.replace("s AS", "s0 AS", 1) + f", s AS (SELECT series_id, label, {_derive_sql('v')} AS v FROM s0)")
+     + " SELECT series_id, arg_min(nn_id, struct_pack(d := dist, i := nn_id)) AS nn_id, round(min(dist), 6) AS nn_dist FROM d GROUP BY series_id")
+_EVENT_PAIRS = _EVENTS + ", p AS (SELECT x.series_id AS id_a, y.series_id AS id_b, x.v AS a, y.v AS b FROM s x JOIN s y ON y.series_id = x.series_id + 1)"
+_add("ed_prefix", lambda s, d: N.consecutive_pairs(D.event_series(s, d)).select("id_a", "id_b", _r(N.distance("ed_prefix", F.col("a"), F.col("b"))).alias("d")),
+     f"WITH {_EVENT_PAIRS} SELECT id_a, id_b, round({_SUM.format('list_transform(range(1, least(len(a), len(b)) + 1), lambda i: pow(a[CAST(i AS INTEGER)] - b[CAST(i AS INTEGER)], 2))')}, 6) AS d FROM p")
+_CC = f"list_max(list_transform(range(-63, 64), lambda k: {_SUM.format('list_transform(range(greatest(1, 1 + k), least(64, 64 + k) + 1), lambda i: a[CAST(i AS INTEGER)] * b[CAST(i - k AS INTEGER)])')}))"
+_NORMS = f"(sqrt({_SUM.format('list_transform(a, lambda z: z * z)')}) * sqrt({_SUM.format('list_transform(b, lambda z: z * z)')}))"
+for _name, _sql in (("max_cc", _CC), ("max_ncc_b", f"{_CC} / 64"), ("max_ncc_c", f"{_CC} / {_NORMS}")):
+    _pairs(_name, lambda a, b, k=_name: N.distance(k, a, b), _sql)
+_add("cdtw_grid", _grid(grids.cdtw_grid(64)), "SELECT i AS param, 2.0::DOUBLE AS cfe, ceil(i / 100.0::DOUBLE * 64) AS \"window\" FROM range(100) t(i)")
+_add("adtw_grid", _grid(grids.adtw_grid({1.0: 40.0, 2.0: 30.0})),
+     "SELECT k * 100 + i - 1 AS param, k + 1.0::DOUBLE AS cfe, round((40 - 10 * k) * pow(0.01::DOUBLE * i, 5), 6) AS penalty FROM range(2) u(k), range(1, 101) t(i)")
+_add("lcss_grid", _grid(grids.lcss_grid(64, 1.5)),
+     "SELECT p AS param, floor((p % 10) * 16.25::DOUBLE / 9) AS \"window\", round(0.3::DOUBLE + (p // 10) * 1.2::DOUBLE / 9, 6) AS epsilon FROM range(100) t(p)")
+_add("minkowski_grid", _grid(grids.minkowski_grid()), "SELECT param, cfe FROM (VALUES (0::BIGINT, 1.0::DOUBLE), (1, 1.5), (2, 0.666666), (3, 2.0), (4, 0.5)) t(param, cfe)")
+
 # Seeded and learned operators: no SQL
 _add("noise", lambda s, d: D.embedding_series(s, d).select("series_id", noise.add_noise(F.col("series_id"), F.col("values"), 0.1, 7).alias("values")))
 _add("pad_suffix_noise", lambda s, d: D.event_series(s, d).select("series_id", noise.pad_suffix_noise(F.col("series_id"), F.col("values"), 120, 7).alias("values")))
@@ -240,7 +314,21 @@ def _forest(preset: str) -> Query:
     return query
 
 
+def _hydra_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grouped counts of the kernels, scaled by a scaler that is fitted on a sample of 200 series."""
+    model, series = Hydra(64, groups=8, seed=1), D.embedding_series(spark, sf_dir)
+    fitted = D.bag(series, 200, 1).select("values").toPandas()["values"]  # bounded
+    scaler = SparseScaler().fit(model.transform(np.array(fitted.tolist())))
+
+    def run(batches):
+        for b in batches:
+            x = model.transform(np.array(b["values"].tolist()), by_group=True)
+            yield pd.DataFrame({"series_id": b["series_id"], "features": list(scaler.transform(x.reshape(len(x), -1)))})
+    return series.select("series_id", "values").mapInPandas(run, "series_id long, features array<double>")
+
+
 _add("hydra", _hydra)
+_add("hydra_scaled", _hydra_scaled)
 _add("forest_pf2", _forest("pf2"))
 _add("forest_pf2018", _forest("pf2018"))
 __all__ = ["ORACLES", "QUERIES", "SparseScaler"]

@@ -199,13 +199,25 @@ def cross_correlation(a, b):
     return np.concatenate([full[:, size - (n - 1):], full[:, :n]], axis=1)
 
 
+def max_cc(a, b):
+    return cross_correlation(np.asarray(a, float), np.asarray(b, float)).max(axis=1)
+
+
+def max_ncc_b(a, b):
+    """Largest cross-correlation over the longer length."""
+    return max_cc(a, b) / max(a.shape[1], b.shape[1])
+
+
+def max_ncc_c(a, b):
+    """Largest cross-correlation over both norms; NaN where a norm is zero."""
+    norm = np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)
+    return np.where(norm > 0, max_cc(a, b) / np.where(norm > 0, norm, 1.0), np.nan)
+
+
 def sbd(a, b):
     """1 - the largest cross-correlation over both norms; 2 where a norm is zero."""
-    a, b = np.asarray(a, float), np.asarray(b, float)
-    norm = np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        out = 1.0 - cross_correlation(a, b).max(axis=1) / norm
-    return np.where(norm > 0, out, 2.0)
+    c = max_ncc_c(np.asarray(a, float), np.asarray(b, float))
+    return np.where(np.isnan(c), 2.0, 1.0 - c)
 
 
 def envelopes(x, w: int) -> tuple[np.ndarray, np.ndarray]:
@@ -286,7 +298,7 @@ def with_cutoff(d: np.ndarray, cutoff: float) -> np.ndarray:
 
 
 DISTANCES: dict[str, Callable] = {"directa": directa, "ed_prefix": ed_prefix, "dtw": dtw, "cdtw": dtw, "adtw": adtw, "wdtw": wdtw, "erp": erp, "lcss": lcss, "msm": msm, "twe": twe,
-                                  "minkowski": minkowski, "lorentzian": lorentzian, "sbd": sbd, "lb_keogh": lb_keogh, "lb_keogh2j": lb_keogh2j,
+                                  "minkowski": minkowski, "lorentzian": lorentzian, "sbd": sbd, "max_cc": max_cc, "max_ncc_b": max_ncc_b, "max_ncc_c": max_ncc_c, "lb_keogh": lb_keogh, "lb_keogh2j": lb_keogh2j,
                                   "lb_enhanced": lb_enhanced, "lb_enhanced2j": lb_enhanced2j, "lb_webb": lb_webb}
 
 

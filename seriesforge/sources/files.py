@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _FLAGS = ("timestamps", "missing", "univariate", "equallength")
@@ -17,10 +17,13 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _numbered(df: DataFrame) -> DataFrame:
-    """series_id 0.. in file order; ids are given on the small (at) column only."""
-    from pyspark.sql import Window
-    ids = df.select("at").withColumn("series_id", F.row_number().over(Window.orderBy("at")).cast("long") - 1)
-    return df.join(ids, "at").drop("at")
+    """series_id 0.. in file order: a rank within each read partition (the high bits of `at`) plus the rows before it."""
+    part = df.withColumn("part", F.shiftright("at", 33))
+    counts = part.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # one row for each partition that was read
+    before = counts.select(F.col("part").alias("of"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    ranked = part.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy("at")))
+    joined = ranked.join(before, F.col("part") == F.col("of"))
+    return joined.select((F.col("before") + F.col("rank") - 1).cast("long").alias("series_id"), *[c for c in df.columns if c != "at"])
 
 
 def _number(x: Column) -> Column:

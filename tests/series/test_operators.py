@@ -107,3 +107,28 @@ def test_stream(spark, tmp_path):
     q = score_stream(spark.readStream.schema(test.schema).parquet(str(tmp_path / "in")), train, str(tmp_path / "out"), str(tmp_path / "cp"), "dtw", window=4)
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).where("correct").count() >= 11
+
+
+def test_command_line(spark, tmp_path):
+    import json
+
+    from seriesforge import __main__ as cli
+
+    for part, n, seed in (("TRAIN", 30, 1), ("TEST", 15, 2)):
+        files.write_ts(waves(spark, n, seed), str(tmp_path / "waves" / f"waves_{part}.ts"), "waves")
+    a = cli.arguments(["--ucr", str(tmp_path), "waves", "--pfc", "pf2", "-t", "5", "-c", "2", "-o", str(tmp_path / "r.json"), "--probout", str(tmp_path / "p")])
+    out = cli.run(spark, a)
+    assert out["accuracy"] >= 0.8 and json.loads((tmp_path / "r.json").read_text()) == out and out["classifier"]["trees"] == 5
+    assert spark.read.csv(str(tmp_path / "p"), header=True).columns == ["series_id", "x", "y", "z"]
+    with pytest.raises(SystemExit):
+        cli.arguments(["-t", "5"])
+
+
+def test_numbers_follow_file_order(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"{i}.csv").write_text("".join(f"a,{i * 100 + k}\n" for k in range(5)))
+    got = files.read_csv(spark, str(tmp_path)).collect()
+    assert sorted(r["series_id"] for r in got) == list(range(15))
+    for i in range(3):
+        ids = [r["series_id"] for r in sorted(got, key=lambda r: r["values"][0]) if r["values"][0] // 100 == i]
+        assert ids == list(range(ids[0], ids[0] + 5))
