@@ -76,12 +76,12 @@ def judge(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents that pass, with the columns of docs; the texts are not shuffled."""
-    v = host_verdicts(spark, base_counts(docs.select("source", "text")))
-    v = v.where("host_ok").select(F.col("at_host").alias("at_host__"))
-    flagged = base_counts(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row__"), docs["text"].alias("text__")), "text__")
-    flagged = flagged.select("row__", base_failed().alias("failed__")).where(~F.col("failed__"))
-    return flagged.join(sized(v), F.col("row__.source").eqNullSafe(v["at_host__"]), "left_semi").select("row__.*")
+    """The documents that pass, with the columns of docs; the texts are read and counted once and not shuffled."""
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row__"), docs["source"].alias("source__"), docs["text"].alias("text__"))
+    counted = base_counts(whole, "text__").drop("text__").withColumn("row__", F.when(~base_failed(), F.col("row__")))
+    flagged = keep(spark, counted, "quality-rows")
+    v = host_verdicts(spark, flagged, "source__").where("host_ok").select(F.col("at_host").alias("at_host__"))
+    return flagged.where(~base_failed()).join(sized(v), F.col("source__").eqNullSafe(F.col("at_host__")), "left_semi").select("row__.*")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
