@@ -1,16 +1,22 @@
 """HTML extraction by equivalence classes of tokens on pages of the same host.
 
-Pass 1 turns every page into tokens: a tag with its path of block elements, or a text run outside the main region with
-its path.  Each page sends (host, token, count on the page); summing both halves of a hash of (page, count) gives every
-token a digest of its occurrence vector, so tokens with equal vectors over all pages of the host fall into one class
-without gathering a host anywhere.  The root class holds the tokens found once on every page, classes found k times on every
-page nest in it, and a class with another vector nests in the element whose tag is one of its members.  A text run is
-template if it is in such a class with at least MIN_PAGES pages behind it; what the template leaves open are the slots.
-
-Pass 2 reads each page against its host's template: tags and template texts go, and of the slots those stay that lie in
-the main region: inside article or main where the page has one, and never inside a menu, header, footer, sidebar, notice,
-advert, form, script, style or comment section (by element, role, or a word of class or id).  Hosts with too few pages
-have an empty template and keep their slots by region alone.
+Pass 1 turns every page into tokens: a tag with its path of block elements (each with its first class name), or a text
+run with its path.  Each page sends (host, token, count on the page); summing both halves of a hash of (page, count) gives
+every token a digest of its occurrence vector, so tokens with equal vectors over all pages of the host fall into one class
+without gathering a host anywhere.  The root class holds the tokens found equally often on every page, and a class with another
+vector nests in the element whose tag is one of its members.
+
+Deduction, for hosts with at least MIN_PAGES pages: the elements of the root class found once on each page delimit the
+slots.  The main slot is the deepest of them (article and main first) with at least half of the host's open text,
+which is neither template nor in a menu or the like.  Text runs of valid classes are template too and go, wherever they
+stand; inside article or main, where an error costs article text, they need MIN_MAIN pages, the root class, and together
+at most MAX_SHARE of the open text (more than that is copies of one page).  A host whose texts are all template has copies
+of one page and keeps them.
+
+Pass 2 reads each page against its host's template and keeps the main slot without nested slots that are no article: a
+menu, header, footer, sidebar, notice, advert, form, script, style or comment section (by element, role, or a word of class
+or id), and without what lies outside article or main where the page has one.  Hosts with too few pages, or whose pages
+share no such element, have no slot and keep their text by region alone.
 
 Defined results: null or empty html gives an empty text; null url is a host of its own; unclosed or stray tags close with
 their block; repeated pages count as pages and each get a row; an empty table gives an empty result.  Character references are
@@ -26,13 +32,17 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import keep, sized, table
 from .url_filters import host_of
 
 MIN_PAGES = 5
+MIN_MAIN, MAX_SHARE = 10, 0.2
+#: Elements that can delimit the main slot; how article and main look in a path.
+BOXES = ("article", "main", "body", "div", "section", "td")
+IN_MAIN = r"/(article|main)(\.[^/]*)?(/|$)"
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'<])*?)(/?)>", re.S)
 _ATTR = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -54,6 +64,14 @@ class _Frame:
         self.name, self.path, self.away, self.main = name, path, away, main
 
 
+def _segment(name: str, attrs: str) -> str:
+    """Element name and first class name, without digits, which often are ids."""
+    for key, *values in _ATTR.findall(attrs):
+        if key.lower() == "class" and (classes := next((v for v in values if v), "").split()):
+            return f"{name}.{re.sub('[0-9/]+', '', classes[0])}"
+    return name
+
+
 def _hinted(attrs: str) -> bool:
     for key, *values in _ATTR.findall(attrs):
         value = next((v for v in values if v), "").lower()
@@ -108,8 +126,9 @@ def parse(page: str) -> tuple[list[tuple[str, _Frame, str]], bool]:
         away = top.away or name in _AWAY or (name == "header" and not top.main) or _hinted(m[3])
         if here and not away:
             main = True
-        frame = _Frame(name, f"{top.path}/{name}", away, top.main or here)
-        out.append(("tag", frame, name))
+        segment = _segment(name, m[3])
+        frame = _Frame(name, f"{top.path}/{segment}", away, top.main or here)
+        out.append(("tag", frame, segment))
         if name not in _VOID and not m[4]:
             stack.append(frame)
     if at < size and not page.startswith("<", at):
@@ -121,19 +140,29 @@ def _clean(text: str) -> str:
     return _SPACE.sub(" ", html.unescape(text)).strip(" ")
 
 
-def page_tokens(page: str) -> Counter:
-    """Template token -> count on the page."""
-    parts, main = parse(page)
-    out: Counter = Counter()
-    for kind, frame, value in parts:
+def page_tokens(page: str) -> dict[str, tuple[int, int]]:
+    """Template token -> (count on the page, code points of text below it outside menus and the like).  The empty token is the page."""
+    counts, own, chars = Counter([""]), Counter(), Counter()
+    for kind, frame, value in parse(page)[0]:
         if kind == "tag":
-            out[f"{frame.path} {value}"] += 1
-        elif kind == "text" and not (main and frame.main) and (text := _clean(value)):
-            out[f"{frame.path} #{xxhash.xxh3_64_hexdigest(text)}"] += 1
-    return out
-
-
-def extract(page: str, template: frozenset[str]) -> str:
+            counts[f"{frame.path} {value}"] += 1
+        elif kind == "text" and (text := _clean(value)):
+            key = f"{frame.path} #{xxhash.xxh3_64_hexdigest(text)}"
+            counts[key] += 1
+            if not frame.away:
+                chars[key] += len(text)
+                own[frame.path] += len(text)
+    for path, n in own.items():
+        chars[""] += n
+        while path:
+            above, _, segment = path.rpartition("/")
+            chars[f"{path} {segment}"] += n
+            path = above
+    return {k: (n, chars[k]) for k, n in counts.items()}
+
+
+def extract(page: str, slot: str | None, template: frozenset[str]) -> str:
+    """Text of the main slot (of the whole page without one) less the template's text runs."""
     parts, main = parse(page)
     blocks: list[str] = []
     held: list[str] = []
@@ -142,60 +171,92 @@ def extract(page: str, template: frozenset[str]) -> str:
             if held and (text := _clean("".join(held))):
                 blocks.append(text)
             held = []
-        elif kind == "text" and not frame.away and (frame.main or not main):
-            if main or not template or not (text := _clean(value)) or f"{frame.path} #{xxhash.xxh3_64_hexdigest(text)}" not in template:
+        elif kind == "text" and not frame.away and (frame.main or not main) and (slot is None or f"{frame.path}/".startswith(f"{slot}/")):
+            if not template or not (text := _clean(value)) or f"{frame.path} #{xxhash.xxh3_64_hexdigest(text)}" not in template:
                 held.append(value)
     if held and (text := _clean("".join(held))):
         blocks.append(text)
     return "\n".join(blocks)
 
 
+_SEEN = pa.schema([("host", pa.string()), ("path", pa.string()), ("mark", pa.string()), ("n", pa.int64()), ("chars", pa.int64()), ("high", pa.int64()), ("low", pa.int64())])
+
+
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            rows = [(h, *k.partition(" ")[::2], n, xxhash.xxh3_64_intdigest(f"{i}:{n}")) for h, i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist())
-                    for k, n in ((("", 1),) if not t else (("", 1), *page_tokens(t).items()))]
-            yield pa.RecordBatch.from_arrays([*[pa.array([r[c] for r in rows], pa.string()) for c in range(3)], pa.array([r[3] for r in rows], pa.int64()),
-                                              pa.array([r[4] >> 32 for r in rows], pa.int64()), pa.array([r[4] & 0xFFFFFFFF for r in rows], pa.int64())], names=["host", "path", "mark", "n", "high", "low"])
+            rows = []
+            for host, page, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()):
+                for key, (n, chars) in page_tokens(text or "").items():
+                    digest = xxhash.xxh3_64_intdigest(f"{page}:{n}")
+                    rows.append((host, *key.partition(" ")[::2], n, chars, digest >> 32, digest & 0xFFFFFFFF))
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(_SEEN)], schema=_SEEN)
 
 
 def templates(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """(at_host, template array<string>): the text runs of the template of each host with at least MIN_PAGES pages; written.
+    """(at_host, slot, template array<string>) of each host with at least MIN_PAGES pages; written.
 
     A token is a path and a mark: `#digest` of a text run, else a tag.  The token without either occurs once on every page:
-    its class is the root class.  Halves of 32 bits are summed, so a host may have four billion pages.
+    its class is the root class.  Halves of 32 bits are summed, so a host may have four billion pages.  Tokens on fewer
+    than MIN_PAGES pages go as soon as they are counted; a host's template is no longer than one of its pages.
     """
-    seen = pages.select("host", F.xxhash64("page_id", "html").alias("p"), "html").mapInArrow(_occurrences, "host string, path string, mark string, n long, high long, low long")
-    vectors = keep(spark, seen.groupBy("host", "path", "mark").agg(F.count(F.lit(1)).alias("pages"), F.min("n").alias("least"), F.max("n").alias("most"),
-                                                                   F.struct(F.sum("high").alias("high"), F.sum("low").alias("low")).alias("vector")), "html-vectors")
-    roots = vectors.where("mark = '' AND path = ''").select(F.col("host").alias("h"), F.col("pages").alias("all_pages")).where(F.col("all_pages") >= MIN_PAGES)
-    roots = keep(spark, roots, "html-roots")
-    texts = vectors.where(F.startswith("mark", F.lit("#")) & (F.col("pages") >= MIN_PAGES)).join(sized(roots), F.col("host").eqNullSafe(F.col("h")))
-    opened = vectors.where((F.col("mark") != "") & (F.col("mark") == F.substring_index("path", "/", -1)) & (F.col("pages") >= MIN_PAGES))
-    opened = opened.select(F.col("host").alias("in_host"), F.col("path").alias("in_path"), F.col("vector").alias("tag_vector"))
-    classed = texts.join(opened, F.col("host").eqNullSafe(F.col("in_host")) & (F.col("path") == F.col("in_path")), "left")  # one tag a path
+    seen = pages.select("host", F.xxhash64("page_id", "html").alias("p"), "html").mapInArrow(_occurrences, "host string, path string, mark string, n long, chars long, high long, low long")
+    vectors = seen.groupBy("host", "path", "mark").agg(F.count(F.lit(1)).alias("pages"), F.min("n").alias("least"), F.max("n").alias("most"), F.sum("chars").alias("chars"),
+                                                       F.struct(F.sum("high").alias("high"), F.sum("low").alias("low")).alias("vector"))
+    vectors = keep(spark, vectors.where(F.col("pages") >= MIN_PAGES), "html-vectors")
+    roots = keep(spark, vectors.where("mark = '' AND path = ''").select(F.col("host").alias("h"), F.col("pages").alias("all_pages"), F.col("chars").alias("open_chars")), "html-roots")
+    on_host = F.col("host").eqNullSafe(F.col("h"))
     every_page = (F.col("pages") == F.col("all_pages")) & (F.col("least") == F.col("most"))
-    valid = every_page | F.coalesce(F.col("vector") == F.col("tag_vector"), F.lit(False))
-    return keep(spark, classed.where(valid).groupBy(F.col("host").alias("at_host")).agg(F.collect_set(F.concat_ws(" ", "path", "mark")).alias("template")), "html-templates")
+    name = F.substring_index("mark", ".", 1)
+    tags = vectors.where((F.col("mark") != "") & (F.col("mark") == F.substring_index("path", "/", -1)))
+
+    texts = vectors.where(F.startswith("mark", F.lit("#"))).join(sized(roots), on_host)
+    opened = tags.select(F.col("host").alias("in_host"), F.col("path").alias("in_path"), F.col("vector").alias("tag_vector"))
+    classed = texts.join(opened, F.col("host").eqNullSafe(F.col("in_host")) & (F.col("path") == F.col("in_path")), "left")  # one tag a path
+    inside = F.rlike("path", F.lit(IN_MAIN))
+    nested = F.coalesce(F.col("vector") == F.col("tag_vector"), F.lit(False))
+    valid = F.when(inside, every_page & (F.col("pages") >= MIN_MAIN)).otherwise(every_page | nested)
+    fixed = keep(spark, classed.where(valid).select("host", "path", "mark", "chars", inside.alias("inside")), "html-fixed")
+
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    closed = fixed.where("NOT inside AND chars > 0").select("host", "chars", F.explode(above).alias("path")).groupBy(F.col("host").alias("c_host"), F.col("path").alias("c_path")).agg(F.sum("chars").alias("closed"))
+    closed = keep(spark, closed, "html-closed")
+
+    def open_part(df: DataFrame, host: str, path: Column, chars: str) -> DataFrame:
+        found = df.join(sized(closed), F.col(host).eqNullSafe(F.col("c_host")) & (F.col("c_path") == path), "left")
+        return found.withColumn(chars, F.col(chars) - F.coalesce("closed", F.lit(0))).drop("c_host", "c_path", "closed")
+
+    left = keep(spark, open_part(roots, "h", F.lit(""), "open_chars"), "html-left")
+    boxes = tags.where(name.isin(*BOXES)).join(sized(left), on_host).where(every_page & (F.col("most") == 1))
+    boxes = open_part(boxes, "host", F.col("path"), "chars").where((2 * F.col("chars") >= F.col("open_chars")) & (F.col("chars") > 0))
+    order = F.struct(name.isin("article", "main"), F.size(parts), "path")
+    slots = boxes.groupBy(F.col("host").alias("box_host")).agg(F.max_by("path", order).alias("slot"))
+
+    token = F.concat_ws(" ", "path", "mark")
+    found = fixed.groupBy(F.col("host").alias("text_host")).agg(F.collect_set(F.when(~F.col("inside"), token)).alias("around"), F.collect_set(F.when(F.col("inside"), token)).alias("within"),
+                                                               F.sum(F.when(F.col("inside"), F.col("chars")).otherwise(0)).alias("within_chars"))
+    full = left.join(slots, F.col("h").eqNullSafe(F.col("box_host")), "left").join(found, F.col("h").eqNullSafe(F.col("text_host")), "left")
+    whole = F.when(F.col("open_chars") <= 0, F.lit(None)).when(F.col("within_chars") <= MAX_SHARE * F.col("open_chars"), F.concat("around", "within")).otherwise(F.col("around"))
+    return keep(spark, full.select(F.col("h").alias("at_host"), "slot", F.coalesce(whole, F.array().cast("array<string>")).alias("template")), "html-templates")
 
 
 def main_texts(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every page."""
     pages = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     found = templates(spark, pages)
-    joined = pages.join(sized(found), F.col("host").eqNullSafe(F.col("at_host")), "left").select("page_id", "url", "html", "template")
+    joined = pages.join(sized(found), F.col("host").eqNullSafe(F.col("at_host")), "left").select("page_id", "url", "html", "slot", "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, known = None, frozenset()
         for batch in batches:
             texts = []
-            for page, template in zip(batch.column(2), batch.column(3)):
-                if template.is_valid:
-                    value = template.as_py()
-                    if value != last:
-                        last, known = value, frozenset(value)
-                texts.append(extract(page.as_py() or "", known if template.is_valid else frozenset()))
+            for page, slot, template in zip(batch.column(2), batch.column(3), batch.column(4)):
+                value = template.as_py() or []
+                if value != last:
+                    last, known = value, frozenset(value)
+                texts.append(extract(page.as_py() or "", slot.as_py(), known))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -241,6 +241,31 @@ def test_nested_template_text_goes(spark):
     assert got[4] == "reader 4 0\nreader 4 1"
 
 
+def _page_texts(spark, made):
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(made)], "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in html_extraction.main_texts(spark, df).collect()}
+
+
+def test_main_slot_is_deduced(spark):
+    """Without article, main or telling names: the slot with most of the host's text is found, what varies beside it goes."""
+    page = "<body><div class='x{0}'><p>small {0}</p></div><div class='y'><h2>Title {0}</h2><p>{1}</p></div><div class='z'>more {0}</div></body>"
+    got = _page_texts(spark, [(f"http://host/{i}", page.format(i, f"word{i} " * 30)) for i in range(6)] + [("http://few/1", page.format(1, "word"))])
+    assert got[3] == "Title 3\n" + ("word3 " * 30).strip() and got[6] == "small 1\nTitle 1\nword\nmore 1"
+
+
+def test_slot_and_template_inside_articles(spark):
+    """A line on every article of a host goes; the paragraphs of a host of copies, and of a host with few pages, stay."""
+    page = "<body><div>beside {0}</div><article><h1>T{0}</h1><p>{1}</p><p>Read more on our site</p></article></body>"
+    varied = [(f"http://host/{i}", page.format(i, f"word{i} " * 40)) for i in range(12)]
+    copies = [(f"http://copies/{i}", page.format(i, "the same story " * 9)) for i in range(12)]
+    bare = [(f"http://bare/{i}", "<body><div>the same page</div></body>") for i in range(7)]
+    few = [(f"http://few/{i}", page.format(i, f"w{i} " * 40)) for i in range(6)]
+    got = _page_texts(spark, varied + copies + few + bare)
+    assert got[5] == "T5\n" + ("word5 " * 40).strip()
+    assert got[12] == "T0\n" + ("the same story " * 9).strip() + "\nRead more on our site"
+    assert got[26] == "T2\n" + ("w2 " * 40).strip() + "\nRead more on our site" and got[33] == "the same page"
+
+
 def test_broadcasts_are_bounded(spark, monkeypatch):
     from seriesforge.llm import common
     small = common.keep(spark, spark.range(9).selectExpr("id", "array_repeat(id, 50) AS a"), "bounded")
