@@ -241,6 +241,12 @@ def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("series_id", "nn_id", _r("nn_dist").alias("nn_dist"))
 
 
+def _halves(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Even and odd ids, each numbered from 0."""
+    series = D.embedding_series(spark, sf_dir)
+    return [D.numbered(series.where(F.col("series_id") % 2 == half)) for half in (0, 1)]
+
+
 def _group(series: DataFrame) -> DataFrame:
     return series.withColumn("series_id", F.pmod("series_id", F.lit(40)))
 
@@ -283,6 +289,30 @@ _CC = f"list_max(list_transform(range(-63, 64), lambda k: {_SUM.format('list_tra
 _NORMS = f"(sqrt({_SUM.format('list_transform(a, lambda z: z * z)')}) * sqrt({_SUM.format('list_transform(b, lambda z: z * z)')}))"
 for _name, _sql in (("max_cc", _CC), ("max_ncc_b", f"{_CC} / 64"), ("max_ncc_c", f"{_CC} / {_NORMS}")):
     _pairs(_name, lambda a, b, k=_name: N.distance(k, a, b), _sql)
+
+
+def _cc_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    @F.pandas_udf("array<double>")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([K.cross_correlation(np.array([x], float), np.array([y], float))[0] for x, y in zip(a, b)])
+    lags = N.consecutive_pairs(D.embedding_series(spark, sf_dir)).select("id_a", "id_b", F.posexplode(run("a", "b")).alias("pos", "value"))
+    return lags.select("id_a", "id_b", (F.col("pos") - 63).cast("long").alias("lag"), _r("value").alias("value"))
+
+
+_add("cc_seq", _cc_seq, f"WITH {_PAIRS}, l AS (SELECT id_a, id_b, a, b, unnest(range(-63, 64)) AS k FROM p) SELECT id_a, id_b, k AS lag, "
+     f"round({_SUM.format('list_transform(range(greatest(1, 1 + k), least(64, 64 + k) + 1), lambda i: a[CAST(i AS INTEGER)] * b[CAST(i - k AS INTEGER)])')}, 6) AS value FROM l")
+_add("class_probabilities", lambda s, d: D.class_probabilities(D.embedding_series(s, d)).select("label", "n", _r("p").alias("p")),
+     f"WITH {_SERIES}, n AS (SELECT label, count(*) AS n FROM s GROUP BY label) SELECT label, n, round(n / (sum(n) OVER ())::DOUBLE, 6) AS p FROM n")
+_add("diff2", lambda s, d: D.points(D.event_series(s, d).withColumn("t", C.difference(F.col("values"), 2)), "t").select("series_id", F.col("pos").cast("long").alias("pos"), _r("value").alias("value")),
+     f"WITH {_EVENTS}, t AS (SELECT series_id, list_transform(range(3, len(v) + 1), lambda i: (v[CAST(i AS INTEGER)] - v[CAST(i AS INTEGER) - 1]) - (v[CAST(i AS INTEGER) - 1] - v[CAST(i AS INTEGER) - 2])) AS t FROM s) "
+     "SELECT series_id, unnest(range(len(t))) AS pos, round(unnest(t), 6) AS value FROM t")
+_add("stratified_copies", lambda s, d: D.stratified_sample(D.embedding_series(s, d), 1.3, 42),
+     f"WITH {_SERIES}, r AS (SELECT label, series_id, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || series_id), series_id) AS k, count(*) OVER (PARTITION BY label) AS n FROM s) "
+     "SELECT series_id, label FROM r UNION ALL SELECT series_id, label FROM r WHERE k <= ceil((1.3::DOUBLE - 1) * n)")
+# Positions of a fold over train (even ids) and test (odd ids): below the size of train they refer to train.
+_add("resample", lambda s, d: files.resample(*_halves(s, d), s.range(0, 400, 3).withColumnRenamed("id", "position")).select("series_id", "label"),
+     f"WITH {_SERIES}, r AS (SELECT label, row_number() OVER (PARTITION BY series_id % 2 ORDER BY series_id) - 1 AS k, series_id % 2 AS half FROM s), "
+     "m AS (SELECT k + CASE WHEN half = 1 THEN (SELECT count(*) FROM r WHERE half = 0) ELSE 0 END AS series_id, label FROM r) SELECT series_id, label FROM m WHERE series_id < 400 AND series_id % 3 = 0")
 _add("cdtw_grid", _grid(grids.cdtw_grid(64)), "SELECT i AS param, 2.0::DOUBLE AS cfe, ceil(i / 100.0::DOUBLE * 64) AS \"window\" FROM range(100) t(i)")
 _add("adtw_grid", _grid(grids.adtw_grid({1.0: 40.0, 2.0: 30.0})),
      "SELECT k * 100 + i - 1 AS param, k + 1.0::DOUBLE AS cfe, round((40 - 10 * k) * pow(0.01::DOUBLE * i, 5), 6) AS penalty FROM range(2) u(k), range(1, 101) t(i)")
@@ -305,11 +335,11 @@ def _hydra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.embedding_series(spark, sf_dir).select("series_id", "values").mapInPandas(run, "series_id long, features array<double>")
 
 
-def _forest(preset: str) -> Query:
+def _forest(preset: str, **options) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         series = D.embedding_series(spark, sf_dir)
         codes = D.encode_labels(series)
-        model = forest.fit(series, codes, n_trees=8, candidates=2, splitters=preset, seed=3, sample=0.2, adtw_pairs=100)
+        model = forest.fit(series, codes, n_trees=8, candidates=2, splitters=preset, seed=3, sample=0.2, adtw_pairs=100, **options)
         return forest.predict(model, series).select("series_id", "predicted")
     return query
 
@@ -331,4 +361,7 @@ _add("hydra", _hydra)
 _add("hydra_scaled", _hydra_scaled)
 _add("forest_pf2", _forest("pf2"))
 _add("forest_pf2018", _forest("pf2018"))
+_add("forest_pf2h", _forest("pf2h"))
+_add("forest_try_all", _forest("pf2", try_all=True))
+_add("forest_smooth", _forest("pf2", smooth=True))
 __all__ = ["ORACLES", "QUERIES", "SparseScaler"]

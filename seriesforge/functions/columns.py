@@ -105,13 +105,17 @@ def has_missing(v: Column) -> Column:
 
 
 def interpolate(v: Column) -> Column:
-    """Interior runs of NaN linearly in the index, leading ones from the next value, trailing ones from the last; all NaN stays."""
+    """Interior runs of NaN linearly in the index, leading ones from the next value, trailing ones from the last; all NaN stays.
+
+    Every known point fills the stretch up to the next one, so the work grows with the length.
+    """
     def over(known: Column) -> Column:
-        def fill(x: Column, i: Column) -> Column:
-            before, after = F.try_element_at(F.filter(known, lambda e: e["i"] < i), F.lit(-1)), F.get(F.filter(known, lambda e: e["i"] > i), F.lit(0))
-            between = before["v"] + (after["v"] - before["v"]) * (i - before["i"]) / (after["i"] - before["i"])
-            return F.when(~F.isnan(x), x).when(before.isNull(), after["v"]).when(after.isNull(), before["v"]).otherwise(between)
-        return F.when(F.size(known) == 0, v).otherwise(F.transform(v, fill))
+        def stretch(e: Column, k: Column) -> Column:
+            after = F.get(known, k + 1)
+            between = F.transform(F.sequence(F.lit(0), after["i"] - e["i"] - 1), lambda j: F.when(j == 0, e["v"]).otherwise(e["v"] + (after["v"] - e["v"]) * j / (after["i"] - e["i"])))
+            return F.when(after.isNull(), F.array_repeat(e["v"], F.size(v) - e["i"])).otherwise(between)
+        first = F.get(known, F.lit(0))
+        return F.when(F.size(known) == 0, v).otherwise(F.concat(F.array_repeat(first["v"], first["i"]), F.flatten(F.transform(known, stretch))))
     indexed = F.filter(F.transform(v, lambda x, i: F.struct(i.alias("i"), x.alias("v"))), lambda e: ~F.isnan(e["v"]))
     return F.when(has_missing(v), let(indexed, over)).otherwise(v)
 

@@ -88,6 +88,22 @@ def class_counts(series: DataFrame, header: DataFrame) -> DataFrame:
     return header.select("label").distinct().join(n, "label", "left").select("label", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def class_probabilities(series: DataFrame) -> DataFrame:
+    """(label, n, p): share of each class; only the counts, one row a class, meet."""
+    n = series.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(F.broadcast(n.agg(F.sum("n").alias("all"))), F.lit(True)).select("label", "n", (F.col("n") / F.col("all")).alias("p"))  # one row
+
+
+def numbered(series: DataFrame) -> DataFrame:
+    """series_id 0.. in id order: ranks within range partitions plus the rows of the partitions before."""
+    blocks = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number is not coalesced
+    part = series.repartitionByRange(blocks, "series_id").withColumn("part", F.spark_partition_id())
+    counts = part.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # one row a partition
+    before = counts.select(F.col("part").alias("of"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    ranked = part.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy("series_id")))
+    return ranked.join(F.broadcast(before), F.col("part") == F.col("of")).select((F.col("before") + F.col("rank") - 1).cast("long").alias("series_id"), *[c for c in series.columns if c != "series_id"])
+
+
 def by_class(series: DataFrame) -> DataFrame:
     """label -> sorted ids; unlabelled ids are the row with a null label."""
     return series.groupBy("label").agg(F.sort_array(F.collect_list("series_id")).alias("ids"))

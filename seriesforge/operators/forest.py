@@ -16,14 +16,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from ..functions.hydra import Hydra, SparseScaler
 from ..plans import grids
 from .neighbours import _blocks, weighted_average
 
 PRESETS = {
     "pf2": ["ADTW", "DTW", "LCSS"],
     "pf2018": ["DA", "DTW", "DTW:d1", "DTWFull", "DTWFull:d1", "WDTW", "WDTW:d1", "LCSS", "ERP", "MSM", "TWE"],
+    "pf2h": ["ADTW", "DTW", "LCSS", "HYDRA"],
 }
 TRANSFORMS = ("default", "derivative1")
+HYDRA_GROUPS = 8
 
 
 def derive(x: np.ndarray) -> np.ndarray:
@@ -33,6 +36,16 @@ def derive(x: np.ndarray) -> np.ndarray:
     return np.concatenate([mid[:, :1], mid, mid[:, -1:]], axis=1)
 
 
+def transforms(x: np.ndarray, hydra: dict | None) -> dict[str, np.ndarray]:
+    """The series under every transform; hydra holds the seed and the fitted scaling of random-convolution features."""
+    out = {"default": x, "derivative1": derive(x)}
+    if hydra:
+        scaler = SparseScaler()
+        scaler.mean, scaler.sigma = np.array(hydra["mean"]), np.array(hydra["sigma"])
+        out["hydra"] = scaler.transform(Hydra(x.shape[1], HYDRA_GROUPS, hydra["seed"]).transform(x))
+    return out
+
+
 def gini(y: np.ndarray) -> float:
     if len(y) <= 1:
         return 0.0
@@ -42,24 +55,32 @@ def gini(y: np.ndarray) -> float:
 
 class _Grower:
     def __init__(self, ids, x, y, n_classes, rng, options):
-        self.ids, self.data, self.y, self.k, self.rng, self.o = ids, {"default": x, "derivative1": derive(x)}, y, n_classes, rng, options
-        self.penalties = {}
-        for t, v in self.data.items():
+        self.ids, self.y, self.k, self.rng, self.o = ids, y, n_classes, rng, options
+        self.names = PRESETS.get(options["splitters"]) or options["splitters"].split(":")
+        self.penalties, self.hydra = {}, None
+        if "HYDRA" in self.names:
+            seed = int(rng.integers(1 << 31))
+            scaler = SparseScaler().fit(Hydra(x.shape[1], HYDRA_GROUPS, seed).transform(x))
+            self.hydra = {"seed": seed, "mean": scaler.mean.tolist(), "sigma": scaler.sigma.tolist()}
+        self.data = transforms(x, self.hydra)
+        for t in TRANSFORMS:
+            v = self.data[t]
             for e in (0.5, 1.0, 2.0):
                 i, j = rng.integers(0, len(v), (2, self.o["adtw_pairs"]))
                 m = float(K.directa(v[i], v[j], e).mean())
                 self.penalties[t, e] = [0.0] + [m * (s / 100) ** 5 for s in range(1, 100)]
 
-    def draw(self, rows: np.ndarray) -> tuple[str, str, dict]:
-        """A random distance: (kernel, transform, parameters)."""
-        names = PRESETS.get(self.o["splitters"]) or self.o["splitters"].split(":")
-        name, _, fixed = names[self.rng.integers(len(names))].partition(":") if self.o["splitters"] in PRESETS else (names[self.rng.integers(len(names))], "", "")
+    def draw(self, rows: np.ndarray, spec: str | None = None) -> tuple[str, str, dict]:
+        """A random distance, of the splitter named by spec or of any: (kernel, transform, parameters)."""
+        name, _, fixed = (spec or self.names[self.rng.integers(len(self.names))]).partition(":")
         free = self.o["splitters"] != "pf2018"
         t = "derivative1" if fixed == "d1" else TRANSFORMS[self.rng.integers(2)] if free else "default"
         e = float(self.rng.choice([0.5, 1.0, 2.0])) if free else 2.0
         length = self.data[t].shape[1]
         sigma = float(self.data[t][rows].std(ddof=1)) if self.data[t][rows].size > 1 else 1.0
         w = grids.random_window(self.rng, length)
+        if name == "HYDRA":
+            return "directa", "hydra", {"cfe": e}
         if name == "DA":
             return "directa", t, {"cfe": e}
         if name == "DTW":
@@ -80,8 +101,8 @@ class _Grower:
             return "adtw", t, {"cfe": e, "penalty": float(self.rng.choice(self.penalties[t, e]))}
         raise ValueError(f"unknown splitter {name!r}")
 
-    def split(self, rows: np.ndarray) -> tuple[float, dict, np.ndarray]:
-        kernel, t, params = self.draw(rows)
+    def split(self, rows: np.ndarray, spec: str | None = None) -> tuple[float, dict, np.ndarray]:
+        kernel, t, params = self.draw(rows, spec)
         labels = np.unique(self.y[rows])
         picks = np.array([self.rng.choice(rows[self.y[rows] == c]) for c in labels])
         x = self.data[t]
@@ -106,8 +127,14 @@ class _Grower:
     def grow(self, rows: np.ndarray, depth: int = 0, label: int | None = None) -> dict:
         if len(np.unique(self.y[rows])) <= 1 or depth >= self.o["max_depth"] or len(rows) <= self.o["min_size"]:
             return self.leaf(rows, label)
-        tries = [self.split(rows) for _ in range(self.o["candidates"])]
-        _, node, branch = min(tries, key=lambda s: s[0])  # the first of the least
+        if self.o["try_all"]:
+            tries = [self.split(rows, spec) for spec in self.names]
+            least = min(t[0] for t in tries)
+            best = [t for t in tries if t[0] == least]
+            _, node, branch = best[self.rng.integers(len(best))]
+        else:
+            tries = [self.split(rows) for _ in range(self.o["candidates"])]
+            _, node, branch = min(tries, key=lambda s: s[0])  # the first of the least
         return node | {"branches": [self.grow(rows[branch == b], depth + 1, c) for b, c in enumerate(node["labels"])]}
 
 
@@ -132,9 +159,10 @@ def walk(tree: dict, x: dict[str, np.ndarray], rows: np.ndarray, out: np.ndarray
 
 
 def fit(train: DataFrame, codes: DataFrame, n_trees: int = 10, candidates: int = 5, splitters: str = "pf2", seed: int = 0, max_depth: int = 64, min_size: int = 1,
-        smooth: bool = False, sample: float = 1.0, adtw_pairs: int = 400) -> DataFrame:
-    """(tree, model json, nodes, depth).  codes(label, code) from encode_labels; sample: share of the series each tree sees."""
-    options = {"candidates": candidates, "splitters": splitters, "max_depth": max_depth, "min_size": min_size, "smooth": smooth, "adtw_pairs": adtw_pairs}
+        smooth: bool = False, sample: float = 1.0, adtw_pairs: int = 400, try_all: bool = False) -> DataFrame:
+    """(tree, model json, nodes, depth).  codes(label, code) from encode_labels; sample: share of the series each tree sees;
+    try_all: a node tries every splitter once and picks at random among the best, else `candidates` random ones."""
+    options = {"candidates": candidates, "splitters": splitters, "max_depth": max_depth, "min_size": min_size, "smooth": smooth, "adtw_pairs": adtw_pairs, "try_all": try_all}
     k = codes.count()
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -142,7 +170,8 @@ def fit(train: DataFrame, codes: DataFrame, n_trees: int = 10, candidates: int =
         tree = int(pdf["tree"].iloc[0])
         g = _Grower(pdf["series_id"].to_numpy(), np.array(pdf["values"].tolist(), float), pdf["code"].to_numpy(int), k, np.random.default_rng([seed, tree]), options)
         model = g.grow(np.arange(len(pdf)))
-        return pd.DataFrame({"tree": [tree], "model": [json.dumps(model)], "nodes": [count_nodes(model)], "depth": [depth(model)]})
+        root = model | ({"hydra": g.hydra} if g.hydra else {})
+        return pd.DataFrame({"tree": [tree], "model": [json.dumps(root)], "nodes": [count_nodes(model)], "depth": [depth(model)]})
 
     labelled = train.join(codes, "label").select("series_id", "code", "values")
     dealt = labelled.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
@@ -160,7 +189,7 @@ def votes(model: DataFrame, test: DataFrame) -> DataFrame:
                 m = json.loads(text)
                 k = _classes(m)
                 out, weight = np.zeros((len(x), k)), np.zeros(len(x))
-                walk(m, {"default": x, "derivative1": derive(x)}, np.arange(len(x)), out, weight)
+                walk(m, transforms(x, m.get("hydra")), np.arange(len(x)), out, weight)
                 yield pd.DataFrame({"series_id": [s["series_id"] for s in q], "tree": tree, "probabilities": list(out), "weight": weight})
 
     pairs = _blocks(test, "q").join(model.select("tree", "model"), F.lit(True)).repartition("q_block", "tree")  # few rows: blocks and trees

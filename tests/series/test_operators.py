@@ -88,7 +88,22 @@ def waves(spark, n, seed):
     return table(spark, [("xyz"[i % 3], f[i % 3](t + r.random()) + 0.1 * r.normal(size=32)) for i in range(n)])
 
 
-@pytest.mark.parametrize("preset", ["pf2", "pf2018"])
+def test_interpolation_of_long_gaps_and_infinities(spark):
+    nan, inf = float("nan"), math.inf
+    df = table(spark, [("a", [nan] * 3 + [inf, 4] + [nan] * 3 + [8] + [nan]), ("b", [5])])
+    got = {r["label"]: r["v"] for r in df.select("label", C.interpolate(F.col("values")).alias("v")).collect()}
+    assert got == {"a": [inf, inf, inf, inf, 4, 5, 6, 7, 8, 8], "b": [5]}
+
+
+def test_try_all_and_smooth_leaves(spark):
+    train = waves(spark, 30, 1)
+    codes = D.encode_labels(train)
+    model = forest.fit(train, codes, n_trees=3, splitters="DA:ADTW:LCSS", seed=5, try_all=True, smooth=True, adtw_pairs=50)
+    out = forest.predict(model, train).join(train, "series_id").join(codes, "label").collect()
+    assert sum(r["predicted"] == r["code"] for r in out) >= 27 and all(0 < min(r["probabilities"]) for r in out)
+
+
+@pytest.mark.parametrize("preset", ["pf2", "pf2018", "pf2h"])
 def test_forest(spark, preset):
     train, test = waves(spark, 45, 1), waves(spark, 30, 2)
     codes = D.encode_labels(train)
