@@ -339,7 +339,7 @@ def _forest(preset: str, **options) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         series = D.embedding_series(spark, sf_dir)
         codes = D.encode_labels(series)
-        model = forest.fit(series, codes, n_trees=8, candidates=2, splitters=preset, seed=3, sample=0.2, adtw_pairs=100, **options)
+        model = forest.fit(series, codes, n_trees=8, candidates=2, splitters=preset, seed=3, sample=1.0, adtw_pairs=4000, **options)
         return forest.predict(model, series).select("series_id", "predicted")
     return query
 

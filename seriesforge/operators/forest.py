@@ -12,12 +12,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions.hydra import Hydra, SparseScaler
 from ..plans import grids
+from .dataset import pseudo_random
 from .neighbours import _blocks, weighted_average
 
 PRESETS = {
@@ -159,8 +160,8 @@ def walk(tree: dict, x: dict[str, np.ndarray], rows: np.ndarray, out: np.ndarray
 
 
 def fit(train: DataFrame, codes: DataFrame, n_trees: int = 10, candidates: int = 5, splitters: str = "pf2", seed: int = 0, max_depth: int = 64, min_size: int = 1,
-        smooth: bool = False, sample: float = 1.0, adtw_pairs: int = 400, try_all: bool = False) -> DataFrame:
-    """(tree, model json, nodes, depth).  codes(label, code) from encode_labels; sample: share of the series each tree sees;
+        smooth: bool = False, sample: float = 1.0, adtw_pairs: int = 4000, try_all: bool = False) -> DataFrame:
+    """(tree, model json, nodes, depth).  codes(label, code) from encode_labels; sample: share of each class that a tree sees, rounded up;
     try_all: a node tries every splitter once and picks at random among the best, else `candidates` random ones."""
     options = {"candidates": candidates, "splitters": splitters, "max_depth": max_depth, "min_size": min_size, "smooth": smooth, "adtw_pairs": adtw_pairs, "try_all": try_all}
     k = codes.count()
@@ -176,7 +177,10 @@ def fit(train: DataFrame, codes: DataFrame, n_trees: int = 10, candidates: int =
     labelled = train.join(codes, "label").select("series_id", "code", "values")
     dealt = labelled.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
     if sample < 1:
-        dealt = dealt.where(F.pmod(F.xxhash64(F.lit(seed), "tree", "series_id"), F.lit(1_000_000)) < int(sample * 1_000_000))
+        of_class = Window.partitionBy("tree", "code")
+        drawn = of_class.orderBy(pseudo_random(F.concat_ws(":", "tree", "series_id"), seed), "series_id")
+        ranked = dealt.select("*", F.row_number().over(drawn).alias("rank"), F.count(F.lit(1)).over(of_class).alias("n"))
+        dealt = ranked.where(F.col("rank") <= F.greatest(F.ceil(F.lit(sample) * F.col("n")), F.lit(1))).drop("rank", "n")
     return dealt.groupBy("tree").applyInPandas(grow, "tree int, model string, nodes long, depth int")
 
 

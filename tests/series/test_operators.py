@@ -1,9 +1,11 @@
 """Files, missing data, sampling, voting, forests and streams on small fixtures."""
 
+import json
 import math
 
 import numpy as np
 import pytest
+from conftest import DATA
 from pyspark.sql import functions as F
 
 from seriesforge.functions import columns as C
@@ -114,6 +116,25 @@ def test_forest(spark, preset):
     assert out.where("predicted = code").count() >= 26 and all(abs(sum(r["probabilities"]) - 1) < 1e-9 for r in out.collect())
 
 
+def test_sample_holds_every_class(spark):
+    """ceil(share * n) of each class in each tree, at least one: a rare class is in all of them."""
+    train = waves(spark, 40, 1).withColumn("label", F.when(F.col("series_id") == 7, "rare").otherwise(F.col("label")))
+    codes = D.encode_labels(train)
+    rare = codes.where("label = 'rare'").first()["code"]
+    model = forest.fit(train, codes, n_trees=6, candidates=1, splitters="DA", seed=3, sample=0.1, adtw_pairs=20).collect()
+    assert all(rare in json.loads(r["model"])["labels"] for r in model) and len(model) == 6
+
+
+def test_registered_forests_see_the_whole_table(spark, monkeypatch):
+    from seriesforge import catalog
+    seen = []
+    monkeypatch.setattr(forest, "fit", lambda *a, **o: seen.append(o))
+    monkeypatch.setattr(forest, "predict", lambda model, series: series.withColumn("predicted", F.lit(0)))
+    for name in ("forest_pf2", "forest_pf2018", "forest_pf2h", "forest_try_all", "forest_smooth"):
+        catalog.QUERIES[name](spark, DATA)
+    assert all(o["sample"] == 1.0 and o["adtw_pairs"] == 4000 for o in seen) and len(seen) == 5
+
+
 def test_stream(spark, tmp_path):
     from seriesforge.streaming.scoring import score_stream
 
