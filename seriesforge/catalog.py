@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .functions import columns as C
 from .functions import kernels as K
 from .functions import noise
-from .functions.hydra import Hydra, SparseScaler
+from .functions.hydra import Hydra, SparseScaler, merged, moments
 from .operators import dataset as D
 from .operators import forest
 from .operators import neighbours as N
@@ -326,6 +326,17 @@ _add("pad_suffix_noise", lambda s, d: D.event_series(s, d).select("series_id", n
 _add("pad_both_noise", lambda s, d: D.event_series(s, d).select("series_id", noise.pad_both_noise(F.col("series_id"), F.col("values"), 120, 7).alias("values")))
 
 
+CHUNK, MERGERS = 64, 16
+
+
+def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.Series, np.ndarray]]:
+    """Ids and values of few series at a time: their windows and features are many times as large."""
+    for b in batches:
+        for at in range(0, len(b), CHUNK):
+            part = b.iloc[at:at + CHUNK]
+            yield part["series_id"], np.array(part["values"].tolist())
+
+
 def _hydra(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = Hydra(64, groups=8, seed=1)
 
@@ -344,16 +355,44 @@ def _forest(preset: str, **options) -> Query:
     return query
 
 
+def _fitted(series: DataFrame, model: Hydra) -> SparseScaler:
+    """A scaler of the features of all series: moments of each partition, merged in MERGERS tasks, whose rows meet here."""
+    schema = "n long, mean array<double>, squares array<double>, zeros array<double>"
+
+    def fold(parts: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+        total = None
+        for part in parts:
+            total = part if total is None else merged(total, part)
+        if total is not None:
+            yield pd.DataFrame({"n": [total[0]], "mean": [total[1]], "squares": [total[2]], "zeros": [total[3].astype(float)]})
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        for b in batches:
+            for r in b.itertuples(index=False):
+                yield int(r.n), np.array(r.mean), np.array(r.squares), np.array(r.zeros)
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return fold(moments(model.transform(x)) for _, x in _chunks(batches))
+
+    def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return fold(rows(batches))
+
+    parts = series.select("series_id", "values").mapInPandas(first, schema).repartition(MERGERS).mapInPandas(again, schema).toPandas()
+    total = None
+    for part in rows([parts.sort_values("n")]):
+        total = part if total is None else merged(total, part)
+    return SparseScaler() if total is None else SparseScaler().fit_moments(total)  # no series, nothing to scale
+
+
 def _hydra_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grouped counts of the kernels, scaled by a scaler that is fitted on a sample of 200 series."""
+    """Grouped counts of the kernels, scaled by a scaler that is fitted on all series."""
     model, series = Hydra(64, groups=8, seed=1), D.embedding_series(spark, sf_dir)
-    fitted = D.bag(series, 200, 1).select("values").toPandas()["values"]  # bounded
-    scaler = SparseScaler().fit(model.transform(np.array(fitted.tolist())))
+    scaler = _fitted(series, model)
 
     def run(batches):
-        for b in batches:
-            x = model.transform(np.array(b["values"].tolist()), by_group=True)
-            yield pd.DataFrame({"series_id": b["series_id"], "features": list(scaler.transform(x.reshape(len(x), -1)))})
+        for ids, values in _chunks(batches):
+            x = model.transform(values, by_group=True)
+            yield pd.DataFrame({"series_id": ids, "features": list(scaler.transform(x.reshape(len(x), -1)))})
     return series.select("series_id", "values").mapInPandas(run, "series_id long, features array<double>")
 
 

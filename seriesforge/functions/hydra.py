@@ -40,11 +40,29 @@ class SparseScaler:
     """Fitted on square roots, applied to the counts themselves; zeros stay zero."""
 
     def fit(self, x: np.ndarray, exponent: int = 4) -> SparseScaler:
-        x = np.sqrt(np.maximum(x, 0))
-        self.mean = x.mean(axis=0)
-        self.sigma = x.std(axis=0) + (x == 0).mean(axis=0) ** exponent + 1e-8
+        return self.fit_moments(moments(x), exponent)
+
+    def fit_moments(self, m: Moments, exponent: int = 4) -> SparseScaler:
+        n, self.mean, squares, zeros = m
+        self.sigma = np.sqrt(squares / n) + (zeros / n) ** exponent + 1e-8
         return self
 
     def transform(self, x: np.ndarray) -> np.ndarray:
         x = np.maximum(x, 0)
         return (x - self.mean) * (x != 0) / self.sigma
+
+
+#: Rows, and per feature the mean of the square roots, the sum of their squared deviations, and the zeros.
+Moments = tuple[int, np.ndarray, np.ndarray, np.ndarray]
+
+
+def moments(x: np.ndarray) -> Moments:
+    x = np.sqrt(np.maximum(x, 0))
+    mean = x.mean(axis=0)
+    return len(x), mean, ((x - mean) ** 2).sum(axis=0), (x == 0).sum(axis=0)
+
+
+def merged(a: Moments, b: Moments) -> Moments:
+    """Moments of the rows of both; from deviations, so that a constant feature keeps none."""
+    n, gap = a[0] + b[0], b[1] - a[1]
+    return n, a[1] + gap * (b[0] / n), a[2] + b[2] + gap ** 2 * (a[0] * b[0] / n), a[3] + b[3]

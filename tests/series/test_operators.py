@@ -135,6 +135,19 @@ def test_registered_forests_see_the_whole_table(spark, monkeypatch):
     assert all(o["sample"] == 1.0 and o["adtw_pairs"] == 4000 for o in seen) and len(seen) == 5
 
 
+def test_scaler_is_fitted_on_all_series(spark):
+    from seriesforge import catalog
+    from seriesforge.functions.hydra import Hydra, SparseScaler
+    x = np.random.default_rng(2).normal(size=(450, 64)).cumsum(axis=1)
+    x[:30] = 0
+    model = Hydra(64, groups=8, seed=1)
+    want = SparseScaler().fit(model.transform(x))
+    got = catalog._fitted(table(spark, [("a", v) for v in x]).repartition(7), model)
+    assert np.allclose(got.mean, want.mean) and np.allclose(got.sigma, want.sigma)
+    raw = np.sqrt(model.transform(x))
+    assert np.allclose(got.sigma, raw.std(axis=0) + (raw == 0).mean(axis=0) ** 4 + 1e-8)
+
+
 def test_stream(spark, tmp_path):
     from seriesforge.streaming.scoring import score_stream
 
