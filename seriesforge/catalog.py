@@ -338,11 +338,11 @@ def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.Series, np.nda
 
 
 def _hydra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = Hydra(64, groups=8, seed=1)
+    model = Hydra(64, seed=1)
 
     def run(batches):
-        for b in batches:
-            yield pd.DataFrame({"series_id": b["series_id"], "features": list(model.transform(np.array(b["values"].tolist())))})
+        for ids, values in _chunks(batches):
+            yield pd.DataFrame({"series_id": ids, "features": list(model.transform(values))})
     return D.embedding_series(spark, sf_dir).select("series_id", "values").mapInPandas(run, "series_id long, features array<double>")
 
 
@@ -386,7 +386,7 @@ def _fitted(series: DataFrame, model: Hydra) -> SparseScaler:
 
 def _hydra_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grouped counts of the kernels, scaled by a scaler that is fitted on all series."""
-    model, series = Hydra(64, groups=8, seed=1), D.embedding_series(spark, sf_dir)
+    model, series = Hydra(64, seed=1), D.embedding_series(spark, sf_dir)
     scaler = _fitted(series, model)
 
     def run(batches):

@@ -27,7 +27,8 @@ PRESETS = {
     "pf2h": ["ADTW", "DTW", "LCSS", "HYDRA"],
 }
 TRANSFORMS = ("default", "derivative1")
-HYDRA_GROUPS = 8
+#: Series whose random-convolution features are made at once: their windows are many times as large.
+CHUNK = 64
 
 
 def derive(x: np.ndarray) -> np.ndarray:
@@ -37,13 +38,22 @@ def derive(x: np.ndarray) -> np.ndarray:
     return np.concatenate([mid[:, :1], mid, mid[:, -1:]], axis=1)
 
 
+def features(x: np.ndarray, groups: int, seed: int) -> np.ndarray:
+    model = Hydra(x.shape[1], groups, seed)
+    return np.concatenate([model.transform(x[at:at + CHUNK]) for at in range(0, len(x), CHUNK)])
+
+
+def scaled(x: np.ndarray, hydra: dict) -> np.ndarray:
+    scaler = SparseScaler()
+    scaler.mean, scaler.sigma = np.array(hydra["mean"]), np.array(hydra["sigma"])
+    return scaler.transform(features(x, hydra["groups"], hydra["seed"]))
+
+
 def transforms(x: np.ndarray, hydra: dict | None) -> dict[str, np.ndarray]:
     """The series under every transform; hydra holds the seed and the fitted scaling of random-convolution features."""
     out = {"default": x, "derivative1": derive(x)}
     if hydra:
-        scaler = SparseScaler()
-        scaler.mean, scaler.sigma = np.array(hydra["mean"]), np.array(hydra["sigma"])
-        out["hydra"] = scaler.transform(Hydra(x.shape[1], HYDRA_GROUPS, hydra["seed"]).transform(x))
+        out["hydra"] = scaled(x, hydra)
     return out
 
 
@@ -61,8 +71,8 @@ class _Grower:
         self.penalties, self.hydra = {}, None
         if "HYDRA" in self.names:
             seed = int(rng.integers(1 << 31))
-            scaler = SparseScaler().fit(Hydra(x.shape[1], HYDRA_GROUPS, seed).transform(x))
-            self.hydra = {"seed": seed, "mean": scaler.mean.tolist(), "sigma": scaler.sigma.tolist()}
+            scaler = SparseScaler().fit(features(x, self.o["hydra_groups"], seed))
+            self.hydra = {"seed": seed, "groups": self.o["hydra_groups"], "mean": scaler.mean.tolist(), "sigma": scaler.sigma.tolist()}
         self.data = transforms(x, self.hydra)
         for t in TRANSFORMS:
             v = self.data[t]
@@ -112,7 +122,7 @@ class _Grower:
         own = near[np.arange(len(rows)), np.searchsorted(labels, self.y[rows])]
         branch = np.where(own, np.searchsorted(labels, self.y[rows]), (near * self.rng.random(near.shape)).argmax(axis=1))
         impurity = sum((branch == b).sum() * gini(self.y[rows][branch == b]) for b in range(len(labels))) / len(rows)
-        node = {"kernel": kernel, "transform": t, "params": params, "exemplars": [x[p].tolist() for p in picks], "exemplar_ids": [int(self.ids[p]) for p in picks], "labels": [int(c) for c in labels]}
+        node = {"kernel": kernel, "transform": t, "params": params, "exemplars": [self.data["default" if t == "hydra" else t][p].tolist() for p in picks], "exemplar_ids": [int(self.ids[p]) for p in picks], "labels": [int(c) for c in labels]}
         return impurity, node, branch
 
     def leaf(self, rows: np.ndarray, label: int | None = None) -> dict:
@@ -147,6 +157,20 @@ def depth(tree: dict) -> int:
     return 1 + max(map(depth, tree["branches"])) if "branches" in tree else 0
 
 
+def featured(tree: dict, hydra: dict) -> None:
+    """Exemplars of random-convolution nodes are kept as series, which are far shorter; here they become features, all at once."""
+    nodes, found = [tree], []
+    while nodes:
+        node = nodes.pop()
+        nodes += node.get("branches", ())
+        if node.get("transform") == "hydra":
+            found.append(node)
+    if found:
+        made = iter(scaled(np.array([e for node in found for e in node["exemplars"]], float), hydra))
+        for node in found:
+            node["exemplars"] = [next(made) for _ in node["exemplars"]]
+
+
 def walk(tree: dict, x: dict[str, np.ndarray], rows: np.ndarray, out: np.ndarray, weight: np.ndarray) -> None:
     if "branches" not in tree:
         out[rows], weight[rows] = tree["p"], tree["weight"]
@@ -160,10 +184,10 @@ def walk(tree: dict, x: dict[str, np.ndarray], rows: np.ndarray, out: np.ndarray
 
 
 def fit(train: DataFrame, codes: DataFrame, n_trees: int = 10, candidates: int = 5, splitters: str = "pf2", seed: int = 0, max_depth: int = 64, min_size: int = 1,
-        smooth: bool = False, sample: float = 1.0, adtw_pairs: int = 4000, try_all: bool = False) -> DataFrame:
+        smooth: bool = False, sample: float = 1.0, adtw_pairs: int = 4000, try_all: bool = False, hydra_groups: int = 64) -> DataFrame:
     """(tree, model json, nodes, depth).  codes(label, code) from encode_labels; sample: share of each class that a tree sees, rounded up;
     try_all: a node tries every splitter once and picks at random among the best, else `candidates` random ones."""
-    options = {"candidates": candidates, "splitters": splitters, "max_depth": max_depth, "min_size": min_size, "smooth": smooth, "adtw_pairs": adtw_pairs, "try_all": try_all}
+    options = {"candidates": candidates, "splitters": splitters, "max_depth": max_depth, "min_size": min_size, "smooth": smooth, "adtw_pairs": adtw_pairs, "try_all": try_all, "hydra_groups": hydra_groups}
     k = codes.count()
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -192,6 +216,8 @@ def votes(model: DataFrame, test: DataFrame) -> DataFrame:
                 x = np.array([s["values"] for s in q], float)
                 m = json.loads(text)
                 k = _classes(m)
+                if "hydra" in m:
+                    featured(m, m["hydra"])
                 out, weight = np.zeros((len(x), k)), np.zeros(len(x))
                 walk(m, transforms(x, m.get("hydra")), np.arange(len(x)), out, weight)
                 yield pd.DataFrame({"series_id": [s["series_id"] for s in q], "tree": tree, "probabilities": list(out), "weight": weight})

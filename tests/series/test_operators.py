@@ -148,6 +148,19 @@ def test_scaler_is_fitted_on_all_series(spark):
     assert np.allclose(got.sigma, raw.std(axis=0) + (raw == 0).mean(axis=0) ** 4 + 1e-8)
 
 
+def test_all_groups_of_kernels(spark):
+    """64 groups in the queries and in the forest, unless others are asked for."""
+    from seriesforge import catalog
+    for name in ("hydra", "hydra_scaled"):
+        assert len(catalog.QUERIES[name](spark, DATA).first()["features"]) == 3 * 64 * 8 * 2
+    train = waves(spark, 20, 1)
+    codes = D.encode_labels(train)
+    for options, groups in (({}, 64), ({"hydra_groups": 4}, 4)):
+        model = json.loads(forest.fit(train, codes, n_trees=1, candidates=1, splitters="HYDRA:HYDRA", seed=3, adtw_pairs=20, **options).first()["model"])
+        length = len(train.first()["values"])
+        assert model["hydra"]["groups"] == groups and len(model["hydra"]["mean"]) % (groups * 16) == 0 and len(model["exemplars"][0]) == length
+
+
 def test_stream(spark, tmp_path):
     from seriesforge.streaming.scoring import score_stream
 
