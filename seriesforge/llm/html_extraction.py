@@ -10,8 +10,10 @@ Deduction, for hosts with at least MIN_PAGES pages: the elements of the root cla
 slots.  The main slot is the deepest of them (article and main first) with at least half of the host's open text,
 which is neither template nor in a menu or the like.  Text runs of valid classes are template too and go, wherever they
 stand; inside article or main, where an error costs article text, they need MIN_MAIN pages, the root class, and together
-at most MAX_SHARE of the open text (more than that is copies of one page).  A host whose texts are all template has copies
-of one page and keeps them.
+at most MAX_SHARE of the open text (more than that is copies of one page).  Elsewhere they may be MAX_AROUND of it (MAX_FEW
+if they have up to FEW code points a page); a host with more has near copies of one page and keeps them.  A nested class
+whose pages share more text outside its own elements than inside is a group of near copies too.  Pages of a host with equal
+open text count once, so copies are no evidence.
 
 Pass 2 reads each page against its host's template and keeps the main slot without nested slots that are no article: a
 menu, header, footer, sidebar, notice, advert, form, script, style or comment section (by element, role, or a word of class
@@ -19,7 +21,7 @@ or id), and without what lies outside article or main where the page has one.  H
 share no such element, have no slot and keep their text by region alone.
 
 Defined results: null or empty html gives an empty text; null url is a host of its own; unclosed or stray tags close with
-their block; repeated pages count as pages and each get a row; an empty table gives an empty result.  Character references are
+their block; repeated pages count once and each get a row; an empty table gives an empty result.  Character references are
 decoded, white space `[\\x20\\x09-\\x0D]` in a block becomes one space, blocks join by one newline.
 """
 
@@ -40,6 +42,8 @@ from .url_filters import host_of
 
 MIN_PAGES = 5
 MIN_MAIN, MAX_SHARE = 10, 0.2
+#: Template text outside article and main: up to this share of the host's open text, or up to the larger one while it has few code points a page.
+MAX_AROUND, MAX_FEW, FEW = 0.5, 0.8, 100
 #: Elements that can delimit the main slot; how article and main look in a path.
 BOXES = ("article", "main", "body", "div", "section", "td")
 IN_MAIN = r"/(article|main)(\.[^/]*)?(/|$)"
@@ -179,7 +183,7 @@ def extract(page: str, slot: str | None, template: frozenset[str]) -> str:
     return "\n".join(blocks)
 
 
-_SEEN = pa.schema([("host", pa.string()), ("path", pa.string()), ("mark", pa.string()), ("n", pa.int64()), ("chars", pa.int64()), ("high", pa.int64()), ("low", pa.int64())])
+_SEEN = pa.schema([("host", pa.string()), ("path", pa.string()), ("mark", pa.string()), ("content", pa.int64()), ("n", pa.int64()), ("chars", pa.int64())])
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,10 +191,12 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             rows = []
-            for host, page, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()):
-                for key, (n, chars) in page_tokens(text or "").items():
-                    digest = xxhash.xxh3_64_intdigest(f"{page}:{n}")
-                    rows.append((host, *key.partition(" ")[::2], n, chars, digest >> 32, digest & 0xFFFFFFFF))
+            for host, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                tokens = page_tokens(text or "")
+                opened = sorted((key, n) for key, (n, chars) in tokens.items() if chars and " #" in key)
+                content = xxhash.xxh3_64_intdigest(repr(opened)) - (1 << 63)
+                for key, (n, chars) in tokens.items():
+                    rows.append((host, *key.partition(" ")[::2], content, n, chars))
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(_SEEN)], schema=_SEEN)
 
 
@@ -201,9 +207,10 @@ def templates(spark: SparkSession, pages: DataFrame) -> DataFrame:
     its class is the root class.  Halves of 32 bits are summed, so a host may have four billion pages.  Tokens on fewer
     than MIN_PAGES pages go as soon as they are counted; a host's template is no longer than one of its pages.
     """
-    seen = pages.select("host", F.xxhash64("page_id", "html").alias("p"), "html").mapInArrow(_occurrences, "host string, path string, mark string, n long, chars long, high long, low long")
-    vectors = seen.groupBy("host", "path", "mark").agg(F.count(F.lit(1)).alias("pages"), F.min("n").alias("least"), F.max("n").alias("most"), F.sum("chars").alias("chars"),
-                                                       F.struct(F.sum("high").alias("high"), F.sum("low").alias("low")).alias("vector"))
+    seen = pages.select("host", "html").mapInArrow(_occurrences, "host string, path string, mark string, content long, n long, chars long")
+    once = seen.groupBy("host", "path", "mark", "content").agg(F.min("n").alias("n"), F.max("chars").alias("chars")).withColumn("digest", F.xxhash64("content", "n"))
+    vectors = once.groupBy("host", "path", "mark").agg(F.count(F.lit(1)).alias("pages"), F.min("n").alias("least"), F.max("n").alias("most"), F.sum("chars").alias("chars"),
+                                                      F.struct(F.sum(F.shiftrightunsigned("digest", 32)).alias("high"), F.sum(F.col("digest").bitwiseAND(0xFFFFFFFF)).alias("low")).alias("vector"))
     vectors = keep(spark, vectors.where(F.col("pages") >= MIN_PAGES), "html-vectors")
     roots = keep(spark, vectors.where("mark = '' AND path = ''").select(F.col("host").alias("h"), F.col("pages").alias("all_pages"), F.col("chars").alias("open_chars")), "html-roots")
     on_host = F.col("host").eqNullSafe(F.col("h"))
@@ -217,7 +224,17 @@ def templates(spark: SparkSession, pages: DataFrame) -> DataFrame:
     inside = F.rlike("path", F.lit(IN_MAIN))
     nested = F.coalesce(F.col("vector") == F.col("tag_vector"), F.lit(False))
     valid = F.when(inside, every_page & (F.col("pages") >= MIN_MAIN)).otherwise(every_page | nested)
-    fixed = keep(spark, classed.where(valid).select("host", "path", "mark", "chars", inside.alias("inside")), "html-fixed")
+    classed = keep(spark, classed.select("host", "path", "mark", "chars", "vector", inside.alias("inside"), every_page.alias("every"), nested.alias("nested"), valid.alias("valid")), "html-classed")
+    beside = F.when(F.col("nested"), -F.col("chars")).otherwise(F.col("chars"))
+    groups = classed.where("NOT inside AND NOT every AND chars > 0").groupBy("host", "vector").agg(F.sum(beside).alias("beside")).where("beside > 0")
+    copies = keep(spark, groups.select(F.col("host").alias("g_host"), F.col("vector").alias("g_vector")), "html-copies")
+    near = F.col("host").eqNullSafe(F.col("g_host")) & (F.col("vector") == F.col("g_vector")) & ~F.col("inside") & ~F.col("every")
+    found = classed.where("valid").join(sized(copies), near, "left_anti")
+    around = found.where("NOT inside").groupBy(F.col("host").alias("a_host")).agg(F.sum("chars").alias("around_chars")).join(sized(roots), F.col("a_host").eqNullSafe(F.col("h")))
+    share = F.when(F.col("around_chars") > FEW * F.col("all_pages"), MAX_AROUND).otherwise(MAX_FEW)
+    full_of = keep(spark, around.where(F.col("around_chars") > share * F.col("open_chars")).select("a_host"), "html-near-copies")
+    found = found.join(sized(full_of), F.col("host").eqNullSafe(F.col("a_host")) & ~F.col("inside"), "left_anti")
+    fixed = keep(spark, found.select("host", "path", "mark", "chars", "inside"), "html-fixed")
 
     parts = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))

@@ -266,6 +266,19 @@ def test_slot_and_template_inside_articles(spark):
     assert got[26] == "T2\n" + ("w2 " * 40).strip() + "\nRead more on our site" and got[33] == "the same page"
 
 
+def test_near_copies_keep_their_text(spark):
+    """Pages without article: near copies that make up a host keep what they share, and so do copies on a larger host, in blocks that only they have."""
+    story, quote = "the story that all of them tell at some length " * 6, "a passage that somebody said " * 3
+    alone = [(f"http://alone/{i}", f"<body><p>{story}</p><p>day {i}</p></body>") for i in range(7)]
+    others = [(f"http://large/{i}", f"<body><p>word{i} {'other text ' * 9}{i}</p></body>") for i in range(14)]
+    equal = [(f"http://large/c{i}", f"<body><p>{story}</p><blockquote>{quote}</blockquote></body>") for i in range(6)]
+    nearly = [(f"http://large/n{i}", f"<body><p>{story} again</p><table><td>{quote}</td></table><p>day {i}</p></body>") for i in range(6)]
+    got = _page_texts(spark, alone + others + equal + nearly)
+    assert got[2] == f"{story.strip()}\nday 2"
+    assert got[21] == f"{story.strip()}\n{quote.strip()}"
+    assert got[27] == f"{story.strip()} again\n{quote.strip()}\nday 0"
+
+
 def test_broadcasts_are_bounded(spark, monkeypatch):
     from seriesforge.llm import common
     small = common.keep(spark, spark.range(9).selectExpr("id", "array_repeat(id, 50) AS a"), "bounded")
