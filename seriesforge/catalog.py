@@ -313,6 +313,18 @@ _add("stratified_copies", lambda s, d: D.stratified_sample(D.embedding_series(s,
 _add("resample", lambda s, d: files.resample(*_halves(s, d), s.range(0, 400, 3).withColumnRenamed("id", "position")).select("series_id", "label"),
      f"WITH {_SERIES}, r AS (SELECT label, row_number() OVER (PARTITION BY series_id % 2 ORDER BY series_id) - 1 AS k, series_id % 2 AS half FROM s), "
      "m AS (SELECT k + CASE WHEN half = 1 THEN (SELECT count(*) FROM r WHERE half = 0) ELSE 0 END AS series_id, label FROM r) SELECT series_id, label FROM m WHERE series_id < 400 AND series_id % 3 = 0")
+
+
+def _resample_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third position over train and test, as many as the table has."""
+    train, test = _halves(spark, sf_dir)
+    every = spark.range(0, train.count() + test.count(), 3).withColumnRenamed("id", "position")
+    return files.resample(train, test, every).select("series_id", "label")
+
+
+_add("resample_whole", _resample_whole,
+     f"WITH {_SERIES}, r AS (SELECT label, row_number() OVER (PARTITION BY series_id % 2 ORDER BY series_id) - 1 AS k, series_id % 2 AS half FROM s), "
+     "m AS (SELECT k + CASE WHEN half = 1 THEN (SELECT count(*) FROM r WHERE half = 0) ELSE 0 END AS series_id, label FROM r) SELECT series_id, label FROM m WHERE series_id % 3 = 0")
 _add("cdtw_grid", _grid(grids.cdtw_grid(64)), "SELECT i AS param, 2.0::DOUBLE AS cfe, ceil(i / 100.0::DOUBLE * 64) AS \"window\" FROM range(100) t(i)")
 _add("adtw_grid", _grid(grids.adtw_grid({1.0: 40.0, 2.0: 30.0})),
      "SELECT k * 100 + i - 1 AS param, k + 1.0::DOUBLE AS cfe, round((40 - 10 * k) * pow(0.01::DOUBLE * i, 5), 6) AS penalty FROM range(2) u(k), range(1, 101) t(i)")

@@ -161,6 +161,13 @@ def test_all_groups_of_kernels(spark):
         assert model["hydra"]["groups"] == groups and len(model["hydra"]["mean"]) % (groups * 16) == 0 and len(model["exemplars"][0]) == length
 
 
+def test_resample_reaches_the_test_half(spark):
+    """On 2000 series too, where the first 400 positions are all in train."""
+    from seriesforge import catalog
+    ids = {r["series_id"] for r in catalog.QUERIES["resample_whole"](spark, "/root/testdata/sf0.1").collect()}
+    assert ids == set(range(0, 2000, 3)) and max(ids) >= 1000
+
+
 def test_stream(spark, tmp_path):
     from seriesforge.streaming.scoring import score_stream
 
