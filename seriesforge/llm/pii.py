@@ -3,11 +3,12 @@
 Base spans (email, ip, card, phone) come from leftmost matches over the whole text.  Each match is a mention of a
 protected entity; its context is the CONTEXT code points on either side.  Contexts are counted once each, so copies
 of a passage are no evidence.  For entity e and term t with p(t|e) the share of e's contexts that hold t and p(t)
-the chance that a context of the corpus holds t (from the term's count over all texts):
+the chance that a context of the corpus holds t (from the term's count over all texts), and p(t|e) drawn towards it by
+PRIOR contexts, so that an entity with one or two contexts is scored too:
 
     PMI(e;t) = log2(p(t|e) / p(t)),   IC(e) = log2(contexts in the corpus / contexts of e)
 
-A term whose PMI is at least DISCLOSE * IC(e), seen in MIN_CONTEXTS contexts of e or more, gives e away: it becomes a span
+A term whose PMI is at least DISCLOSE * IC(e) gives e away: it becomes a span
 of kind `term` in every document that mentions e.  sanitised() puts a label for each span (generalisation).
 
 Patterns are written so that Java's matcher is linear: possessive repeats (nothing after them could use what they give
@@ -26,7 +27,7 @@ from .common import SPACE, ascii_lower, keep, let, sized, table, text_or_empty,
 
 KINDS = ("email", "ip", "card", "phone", "term")
 CONTEXT = 120
-MIN_CONTEXTS = 3
+PRIOR = 1.0
 DISCLOSE = 0.8
 _LOCAL = "[A-Za-z0-9._%+-]"
 PATTERNS = {
@@ -113,18 +114,17 @@ def mentions(found: DataFrame) -> DataFrame:
 
 def disclosing(spark: SparkSession, docs: DataFrame, said: DataFrame) -> DataFrame:
     """(entity, term) pairs over the disclosure threshold; written."""
-    contexts = said.select("entity", "ctx").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    shared = keep(spark, contexts.where(F.col("n_e") >= MIN_CONTEXTS), "pii-entities")
-    with_terms = said.join(sized(shared), "entity").select("entity", "n_e", "ctx", F.explode("terms").alias("term")).distinct()
-    pairs = keep(spark, with_terms.groupBy("entity", "n_e", "term").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= MIN_CONTEXTS), "pii-pairs")
+    contexts = keep(spark, said.select("entity", "ctx").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")), "pii-entities")
+    with_terms = said.select("entity", "ctx", F.explode("terms").alias("term")).distinct()
+    pairs = keep(spark, with_terms.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).join(sized(contexts), "entity"), "pii-pairs")
     cand = keep(spark, pairs.select("term").distinct(), "pii-terms")
     all_words = docs.select(F.explode(F.split(text_or_empty(F.col("text")), SPACE)).alias("w")).select(term_of(F.col("w")).alias("term"))
-    counts = keep(spark, all_words.join(sized(cand), "term").groupBy("term").agg(F.count(F.lit(1)).alias("tf")), "pii-counts")
+    counts = keep(spark, all_words.groupBy("term").agg(F.count(F.lit(1)).alias("tf")).join(sized(cand), "term"), "pii-counts")
     length = docs.agg(F.sum(F.length("text")).alias("chars"))
     total = keep(spark, length.select((F.coalesce(F.col("chars"), F.lit(0)) / (2.0 * CONTEXT) + 1.0).alias("n_ctx")), "pii-total")  # one row
     scored = pairs.join(sized(counts), "term").join(F.broadcast(total), F.lit(True))
     p_t = F.least(F.lit(1.0), F.col("tf") / F.col("n_ctx"))
-    pmi, ic = F.log2((F.col("n_et") / F.col("n_e")) / p_t), F.log2(F.greatest(F.col("n_ctx") / F.col("n_e"), F.lit(1.0)))
+    pmi, ic = F.log2((F.col("n_et") + PRIOR * p_t) / (F.col("n_e") + PRIOR) / p_t), F.log2(F.greatest(F.col("n_ctx") / F.col("n_e"), F.lit(1.0)))
     return keep(spark, scored.where((pmi > 0) & (pmi >= DISCLOSE * ic)).select("entity", "term"), "pii-disclosing")
 
 
@@ -135,7 +135,12 @@ def find(spark: SparkSession, docs: DataFrame) -> DataFrame:
     base = keep(spark, found.select("doc_id", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")), "pii-base")
     said = keep(spark, mentions(base.where(F.size("base") > 0)), "pii-mentions")
     told = disclosing(spark, docs, said)
-    by_doc = keep(spark, said.join(sized(told), "entity").groupBy(F.col("doc_id").alias("in_doc")).agg(F.collect_set("term").alias("told")), "pii-docs")
+    # Only terms that the document holds: an entity's documents times all its terms would grow with the square.
+    held = base.where(F.size("base") > 0).select("doc_id", F.explode(F.array_distinct(F.transform(words(F.col("text")), term_of))).alias("term"))
+    held = keep(spark, held.join(sized(keep(spark, told.select("term").distinct(), "pii-told")), "term", "left_semi").distinct(), "pii-held")
+    named = said.select(F.col("doc_id").alias("in_doc"), "entity").distinct()
+    by_doc = held.join(named, held["doc_id"].eqNullSafe(named["in_doc"])).join(sized(told), ["entity", "term"])
+    by_doc = keep(spark, by_doc.groupBy("in_doc").agg(F.collect_set("term").alias("told")), "pii-docs")
     joint = base.join(sized(by_doc), base["doc_id"].eqNullSafe(by_doc["in_doc"]), "left")
     extra = F.when(F.col("told").isNotNull() & F.col("text").isNotNull(), term_spans(F.col("text"), F.col("told"), F.col("base"))).otherwise(F.array().cast(_SPAN))
     return joint.select("doc_id", "base", F.concat("base", extra).alias("spans"), "text")

@@ -156,6 +156,14 @@ def test_pii_terms(spark):
     assert "zebracorn" not in clean[0] and "[EMAIL]" in clean[0] and clean[10] == texts[10] and len(clean) == len(texts)
 
 
+def test_pii_terms_of_one_context(spark):
+    """An address seen once: a word found nowhere else gives it away, a common word does not."""
+    texts = ["the other quuxname wrote to solo@corp.example and the rest"] + [f"the other thing number {i} wrote to and is plain and the rest too " * 6 for i in range(60)]
+    got = {r["doc_id"]: r["spans"] for r in pii.report(pii.find(spark, docs(spark, texts))).collect()}
+    at = texts[0].index("quuxname")
+    assert f"term:{at}:{at + 8}" in got[0] and got[0].count("term") == 1 and got[10] == ""
+
+
 @pytest.mark.parametrize("query,label,least", [("op3_quality_classifier", "quality", 0.97), ("op9_toxicity", "toxic", 0.93)])
 def test_held_out_accuracy(spark, query, label, least):
     sf = "/root/testdata/sf0.01"
