@@ -1,43 +1,57 @@
 """N-gram Jaccard join by PartEnum signatures, and its connected components.
 
-A document's set holds its distinct three-word shingles (64-bit hashes).  Two documents link when
-100 |A n B| >= 90 |A u B|, that is when the symmetric difference is at most (|A| + |B|) / 19.
+A document's set holds its distinct shingles of n words (64-bit hashes); with fewer words the whole sequence is one.
+Two documents link when 100 |A n B| >= percent |A u B|, that is when the symmetric difference is at most
+(100 - percent) / (100 + percent) of |A| + |B|.  The general rule is five words and 80 percent.
 
 PartEnum: sizes are cut into bands that grow by a constant ratio; a set takes part in its own band and in every band that
-a larger partner can lie in, so each pair meets in the band of its larger set.  In a band with largest size r the
-difference is at most k = 2r // 19.  The feature domain is split by a hash into n1 = k // 2 + 1 parts, so some part
-has at most one difference; each part is split into n2 pieces, so n2 - 1 of them are equal.  For each part and each
-subset of n2 - 1 pieces the sum of the element hashes is a signature: linked sets share one, without exception.
-
-Equal sets form one class (node); only nodes are compared.  A signature is live if two nodes have it.  First each
-bucket compares its members to its least node only (linear), links are verified by exact intersection and components
-taken; then buckets that still span several components compare their cross-component pairs, after a 512-bit parity
-sketch (its Hamming distance never exceeds the symmetric difference) has removed hopeless ones inside the join.
-Nothing is gathered by bucket: hot buckets are joins that adaptive execution splits.
-
-Defined results: null or empty text has an empty set, is linked with nothing, and is its own component; with fewer
-than three words the whole sequence is one shingle; rows that repeat a doc_id each get a row; a null doc_id never
-becomes a component's smallest id unless the component has no other; an empty table gives an empty result.
-Nodes are 64-bit digests of a set's sorted shingle hashes.
+a larger partner can lie in, so each pair meets in the band of its larger set, where the difference is at most a k that the
+band's largest size gives.  The feature domain is split by a hash into parts of which any m + 1 have at most one difference
+each; a part is split into pieces, of which all but one are equal then.  For each part and each piece left out the sum of the
+other elements' hashes is a signature: linked sets share at least m + 1 of them.
+
+Slots without elements would be shared by unrelated sets.  A set with empty slots in at most m parts needs none of them: of
+m + 1 good parts one has none.  A set with more joins each empty slot with every signature of a second, independent partition of
+its elements (and so on, DEPTH deep): linked sets share one there too.  So nothing is lost and no bucket is a constant.
+
+Equal sets form one class (node); only nodes are compared.  A signature is live if two nodes have it; once the
+live ones are counted, a bit filter lets few others pass to the second shuffle.  First each bucket compares its
+members to its least node only (linear), links are verified by exact intersection and components taken; then buckets that
+still span several components compare their cross-component pairs, after a 512-bit parity sketch (its Hamming distance
+never exceeds the symmetric difference) has removed hopeless ones inside the join.  Nothing is gathered by bucket: hot
+buckets are joins that adaptive execution splits.
+
+Defined results: null or empty text has an empty set, is linked with nothing, and is its own component; rows that repeat a
+doc_id each get a row; a null doc_id never becomes a component's smallest id unless the component has no other; ids may have
+any type that can be ordered; an empty table gives an empty result.  Nodes are 64-bit digests of a set's sorted shingle hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from functools import cache, lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import keep, sized, table
+from .common import drop, keep, possible, sized, table
 
-N = 3
+#: The general rule of near-copy stages, and that of the op4 query.
+N, PERCENT = 5, 80
+OP4_N, OP4_PERCENT = 3, 90
 BAND_RATIO = 1.3
-#: Pieces of a part: sets of up to 200 shingles use three (more selective), larger ones two (fewer signatures).
-PIECES_SMALL, PIECES_LARGE, SMALL = 3, 2, 200
+#: Pieces of a part: two (fewer signatures) where each then holds this many elements or more, else three.
+FULL_PIECE = 8
+DEPTH = 4
+#: A shingle gives some 0.2 signatures at 90 percent, 1.2 at 80: they are made and counted, and pairs verified, in this many parts, one
+#: after the other, so that each part's files are gone before the next.
+PASSES = {90: 1, 80: 4}
 SKETCH_WORDS = 8
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -60,7 +74,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: str | None, seen: _WordHash, n: int = N) -> np.ndarray:
+def shingle_set(text: str | None, seen: _WordHash, n: int) -> np.ndarray:
     """Sorted distinct shingle hashes.  bytes.lower() and bytes.split() know ASCII only, as the word rule does."""
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
     h = np.fromiter(map(seen.__getitem__, w), np.uint64, len(w))
@@ -70,7 +84,8 @@ def shingle_set(text: str | None, seen: _WordHash, n: int = N) -> np.ndarray:
     s = np.full(len(h) - m + 1, m, np.uint64)
     for i in range(m):
         s = s * _M + h[i:len(h) - m + 1 + i]
-    return np.unique(_mix(s))
+    s = np.sort(_mix(s))
+    return s[np.concatenate([[True], s[1:] != s[:-1]])]
 
 
 def node_of(s: np.ndarray) -> int:
@@ -78,7 +93,7 @@ def node_of(s: np.ndarray) -> int:
 
 
 def _bands(limit: int) -> list[int]:
-    out = [9]
+    out = [2]
     while out[-1] < limit:
         out.append(max(out[-1] + 1, int(out[-1] * BAND_RATIO)))
     return out
@@ -87,22 +102,76 @@ def _bands(limit: int) -> list[int]:
 _BANDS = np.array(_bands(1 << 40))
 
 
-def signatures(s: np.ndarray) -> np.ndarray:
+@cache
+def band_scheme(largest: int, percent: int) -> tuple[int, int, int] | None:
+    """(parts, pieces, m) of the band with that largest size; None if only equal sets can link.
+
+    m + 1 parts are sure to have at most one difference.  m is chosen for the fewest signatures over the sizes that take part,
+    where a slot is empty with probability exp(-expected elements).
+    """
+    k = 2 * largest * (100 - percent) // (100 + percent)
+    if not k:
+        return None
+    pieces = 2 if largest / (k // 2 + 1) / 2 >= FULL_PIECE else 3
+
+    def signatures_of(m: int) -> float:
+        slots, total = (k // 2 + 1 + m) * pieces, 0.0
+        for share in (percent / 100 / BAND_RATIO, 1 / BAND_RATIO, 1.0):
+            empties = slots * math.exp(-share * largest * (pieces - 1) / slots)
+            term = upto = math.exp(-empties)
+            for i in range(1, m + 1):
+                term *= empties / i
+                upto += term
+            more = max(0.0, 1 - upto) * max(empties, m + 1)
+            total += slots * sum(more ** depth for depth in range(DEPTH + 1))
+        return total
+
+    m = min(range(0, 8 + k // 2), key=signatures_of)
+    return k // 2 + 1 + m, pieces, m
+
+
+def _partition(place: np.ndarray, weight: np.ndarray, scheme: tuple[int, int, int], seed: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Signatures of the slots with elements; of the empty ones; whether these are needed."""
+    parts, pieces, m = scheme
+    cell = (place % np.uint64(parts * pieces)).astype(np.int64)
+    sums = np.zeros(parts * pieces, np.uint64)
+    np.add.at(sums, cell, weight)
+    sums, counts = sums.reshape(parts, pieces), np.bincount(cell, minlength=parts * pieces).reshape(parts, pieces)
+    empty = counts.sum(axis=1, keepdims=True) == counts
+    slot = _slots(parts * pieces, seed).reshape(parts, pieces)
+    made = _mix((sums.sum(axis=1, keepdims=True) - sums) ^ slot)
+    if not empty.any():
+        return made.ravel(), slot[:0].ravel(), False
+    return made[~empty], slot[empty], bool(empty.any(axis=1).sum() > m)
+
+
+@lru_cache(maxsize=4096)
+def _slots(n: int, seed: int) -> np.ndarray:
+    return _mix(np.arange(n, dtype=np.uint64) * _M + _mix(np.array([seed], np.uint64) * _M + np.uint64(1)))
+
+
+def _band_signatures(s: np.ndarray, place: np.ndarray, weight: np.ndarray, scheme: tuple[int, int, int], seed: int, depth: int = 1) -> np.ndarray:
+    made, slots, needed = _partition(place, weight, scheme, seed)
+    if not needed:
+        return made
+    more = np.zeros(1, np.uint64)
+    if depth < DEPTH:  # another partition, independent of this one
+        salt = _mix(np.array([depth], np.uint64))
+        more = _band_signatures(s, _mix(s ^ salt), _mix(s + salt), scheme, seed + 1, depth + 1)
+    return np.concatenate([made, _mix(slots[:, None] ^ _mix(more + _M)[None, :]).ravel()])
+
+
+def signatures(s: np.ndarray, percent: int) -> np.ndarray:
     """All PartEnum signatures of a set."""
     size, out = len(s), []
+    if not size:
+        return s
     place, weight = _mix(s ^ np.uint64(0x5851F42D4C957F2D)), _mix(s + _M)
-    first, last = np.searchsorted(_BANDS, [size, size * 10 // 9])
+    first, last = np.searchsorted(_BANDS, [size, size * 100 // percent])
     for band in range(first, last + 1):
-        k = 2 * int(_BANDS[band]) // 19
-        if not k:
-            continue  # only equal sets: they are one node
-        n1, n2 = k // 2 + 1, PIECES_SMALL if _BANDS[band] <= SMALL else PIECES_LARGE
-        pieces = np.zeros(n1 * n2, np.uint64)
-        np.add.at(pieces, (place % np.uint64(n1 * n2)).astype(np.int64), weight)
-        pieces = pieces.reshape(n1, n2)
-        subsets = pieces.sum(axis=1, keepdims=True) - pieces
-        salt = _mix(np.arange(n1 * n2, dtype=np.uint64) + np.uint64(band << 40)).reshape(n1, n2)
-        out.append(_mix(_mix(subsets) + salt).ravel())
+        scheme = band_scheme(int(_BANDS[band]), percent)
+        if scheme:
+            out.append(_band_signatures(s, place, weight, scheme, (band << 20) + percent * 100))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -118,92 +187,148 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays).view(np.int64)))
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _in_parts(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Slices of a batch with the shingle sets of the last column."""
     seen = _WordHash()
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
-            sets = [shingle_set(t.as_py(), seen) for t in part.column(1)]
-            full = [len(s) > 0 for s in sets]
-            yield pa.RecordBatch.from_arrays([
-                part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if f else None for s, f in zip(sets, full)], pa.int64()),
-                _lists([signatures(s) for s in sets]), _lists([sketch(s) if f else s for s, f in zip(sets, full)])], names=["doc_id", "n", "node", "sigs", "sk"])
+            yield part, [shingle_set(t.as_py(), seen, n) for t in part.column(part.num_columns - 1)]
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen = _WordHash()
-    for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            sets = [s for t in batch.slice(at, 512).column(0) if len(s := shingle_set(t.as_py(), seen))]
+def _nodes(sets: list[np.ndarray]) -> pa.Array:
+    return pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())
+
+
+def _features(docs: DataFrame, n: int, percent: int, passes: int, at: int) -> DataFrame:
+    """(doc_id, n, node, sk, sigs) of every row, with those signatures that are `at` modulo `passes`."""
+    def some(s: np.ndarray) -> np.ndarray:
+        made = signatures(s, percent)
+        return made[made % np.uint64(passes) == at] if passes > 1 else made
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, sets in _in_parts(batches, n):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), _nodes(sets), _lists([sketch(s) if len(s) else s for s in sets]),
+                                              _lists([some(s) for s in sets])], names=["doc_id", "n", "node", "sk", "sigs"])
+
+    longs = ArrayType(LongType())
+    schema = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), StructField("n", LongType()), StructField("node", LongType()), StructField("sk", longs), StructField("sigs", longs)])
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def _items(docs: DataFrame, n: int) -> DataFrame:
+    """(node, items) of every row with a set."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sets in _in_parts(batches, n):
+            sets = [s for s in sets if len(s)]
             if sets:
-                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), _lists(sets)], names=["node", "items"])
+                yield pa.RecordBatch.from_arrays([_nodes(sets), _lists(sets)], names=["node", "items"])
+
+    return docs.select("text").mapInArrow(run, "node long, items array<long>")
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, comp) for edges(a, b): least label of neighbours and a pointer jump, until nothing changes."""
     both = keep(spark, edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
-    labels = keep(spark, both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")), "cc-0")
+    labels = keep(spark, both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp"), F.lit(True).alias("moved")), "cc-0")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
         step = keep(spark, labels.join(near, "node").select("node", F.col("comp").alias("was"), F.least("comp", "m").alias("comp")), "cc-step")
         jump = step.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
-        new = keep(spark, step.join(jump, "comp").select("node", "was", F.col("up").alias("comp")), "cc-jump")
-        moved = new.where("comp <> was").limit(1).count()
-        labels = new.select("node", "comp")
-        if not moved:
+        new = keep(spark, step.join(jump, "comp").select("node", F.col("up").alias("comp"), (F.col("was") != F.col("up")).alias("moved")), "cc-jump")
+        drop(labels, step)
+        labels = new
+        if not labels.where("moved").limit(1).count():
+            drop(both)
             return labels
 
 
-def _verified(spark: SparkSession, docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of pairs(a, b) whose sets really link, by exact intersection; written."""
-    ends = keep(spark, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "root"), "node").select("node", "root"), "join-ends")
-    roots = ends.select("root").distinct()
-    texts = docs.join(sized(keep(spark, roots, "join-roots")), docs["doc_id"].eqNullSafe(F.col("root")), "left_semi").select("text")
-    sets = keep(spark, texts.mapInArrow(_sets, "node long, items array<long>").dropDuplicates(["node"]), "join-sets")
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("ia")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("items").alias("ib")), "b")
-    shared = both.select("a", "b", F.size(F.array_intersect("ia", "ib")).alias("i"), (F.size("ia") + F.size("ib")).alias("t"))
-    return keep(spark, shared.where(100 * F.col("i") >= 90 * (F.col("t") - F.col("i"))).select("a", "b"), "join-links")
-
-
-def _near(x: str, y: str):
+def _verified(spark: SparkSession, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent: int, passes: int) -> list[DataFrame]:
+    """Those of pairs(a, b) whose sets really link, by exact intersection, in `passes` parts one after the other; written."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "root"), "node")
+    roots = keep(spark, ends.select(F.col("root").alias("root__"), F.xxhash64("root").alias("key__")).distinct(), "join-roots")
+    pages, among = possible(spark, roots, "key__")
+    texts = among(docs.withColumn("key__", F.xxhash64("doc_id")), "key__").join(sized(roots.select("root__")), F.col("doc_id").eqNullSafe(F.col("root__")), "left_semi").select("text")
+    sets = keep(spark, _items(texts, n).dropDuplicates(["node"]), "join-sets")
+    parts = []
+    for at in range(passes):
+        left = pairs.where(F.pmod("a", F.lit(passes)) == at).join(sets.select(F.col("node").alias("a"), F.col("items").alias("ia")), "a")
+        both = left.join(sets.select(F.col("node").alias("b"), F.col("items").alias("ib")), "b")
+        shared = both.select("a", "b", F.size(F.array_intersect("ia", "ib")).alias("i"), (F.size("ia") + F.size("ib")).alias("t"))
+        parts.append(keep(spark, shared.where(100 * F.col("i") >= percent * (F.col("t") - F.col("i"))).select("a", "b"), "join-links"))
+    drop(roots, pages, sets)
+    return parts
+
+
+def _copies(spark: SparkSession, ids: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(copy__, key__): the ids whose sets are all equal to others' of a lesser id; written."""
+    roots = nodes.select(F.col("root").alias("root__")).distinct()
+    copies = ids.where("node IS NOT NULL").select(F.col("doc_id").alias("copy__")).distinct().join(roots, F.col("copy__").eqNullSafe(F.col("root__")), "left_anti")
+    return keep(spark, copies.select("copy__", F.xxhash64("copy__").alias("key__")), "join-copies")
+
+
+def _shared(spark: SparkSession, feats: DataFrame, copies: DataFrame, maybe: Callable[..., DataFrame]) -> DataFrame:
+    """(sig, node) of the signatures that several nodes have; written.  Of the rows only those that may be copies are shuffled to leave copies out."""
+    marked = maybe(feats.where("node IS NOT NULL").select("doc_id", "node", "sigs", F.xxhash64("doc_id").alias("key__")), "key__", True)
+    checked = marked.where("passed__").join(sized(copies.select("copy__")), F.col("doc_id").eqNullSafe(F.col("copy__")), "left_anti")
+    rows = marked.where("NOT passed__").select("node", "sigs").unionAll(checked.select("node", "sigs")).select("node", F.explode("sigs").alias("sig"))
+    live = keep(spark, rows.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("sig"), "join-live")
+    pages, among = possible(spark, live, "sig")
+    shared = keep(spark, among(rows, "sig").join(live, "sig", "left_semi").select("sig", "node"), "join-shared")
+    drop(live, pages)
+    return shared
+
+
+def _near(x: str, y: str, percent: int):
     """Sizes and sketches of both sides allow a link."""
     bits = F.aggregate(F.zip_with(f"{x}.sk", f"{y}.sk", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, b: s + b)
-    return (10 * F.least(f"{x}.n", f"{y}.n") >= 9 * F.greatest(f"{x}.n", f"{y}.n")) & (19 * bits <= F.col(f"{x}.n") + F.col(f"{y}.n"))
+    return (100 * F.least(f"{x}.n", f"{y}.n") >= percent * F.greatest(f"{x}.n", f"{y}.n")) & ((100 + percent) * bits <= (100 - percent) * (F.col(f"{x}.n") + F.col(f"{y}.n")))
 
 
-def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs(doc_id, text, ...)."""
     docs = docs.select("doc_id", "text")
-    feats = keep(spark, docs.mapInArrow(_features, "doc_id long, n long, node long, sigs array<long>, sk array<long>"), "join-feats")
+    passes = PASSES.get(percent, 1 if percent > 90 else 4)
+    feats = keep(spark, _features(docs, n, percent, passes, 0), "join-feats")
+    ids = keep(spark, feats.select("doc_id", "n", "node"), "join-ids")
     nodes = keep(spark, feats.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("root"), F.first("n").alias("n"), F.first("sk").alias("sk")), "join-nodes")
-    rows = feats.select("node", F.explode("sigs").alias("sig"))
-    live = keep(spark, rows.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi"), "join-live")
-    many = keep(spark, live.where("c > 2").select("sig", "lo"), "join-many")
-    members = keep(spark, rows.join(sized(many), "sig").select("sig", "lo", "node").distinct(), "join-members")
-    stars = live.select("lo", F.col("hi").alias("node")).union(members.where("node <> lo").select("lo", "node")).distinct()
+    copies = _copies(spark, ids, nodes)
+    pages, maybe = possible(spark, copies, "key__")
+    parts = []
+    for at in range(passes):
+        feats = keep(spark, _features(docs, n, percent, passes, at), "join-feats") if at else feats
+        parts.append(_shared(spark, feats, copies, maybe))
+        drop(feats)
+    seen = reduce(DataFrame.unionAll, parts)
+    least = seen.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("sig", "lo")
+    members = keep(spark, seen.join(least, "sig").select("sig", "lo", "node"), "join-members")
+    drop(copies, pages, *parts)
+    stars = members.where("node <> lo").select("lo", "node").distinct()
     info = lambda name: nodes.select(F.col("node").alias(name), "n", "sk").alias(name)
-    first = stars.join(info("a"), F.col("lo") == F.col("a.a")).join(info("b"), F.col("node") == F.col("b.b")).where(_near("a", "b")).select(F.col("a.a"), F.col("b.b"))
-    links = _verified(spark, docs, nodes, keep(spark, first, "join-first"))
-    comp = components(spark, links)
+    first = stars.join(info("a"), F.col("lo") == F.col("a.a")).join(info("b"), F.col("node") == F.col("b.b")).where(_near("a", "b", percent)).select(F.col("a.a"), F.col("b.b"))
+    first = keep(spark, first, "join-first")
+    links = _verified(spark, docs, nodes, first, n, percent, passes)
+    comp = components(spark, reduce(DataFrame.unionAll, links))
 
     part = keep(spark, members.select("sig", "node").join(comp, "node", "left").select("sig", "node", F.coalesce("comp", "node").alias("comp")), "join-part")
-    open_ = keep(spark, part.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig"), "join-open")
-    side = keep(spark, part.join(sized(open_), "sig").join(nodes.select("node", "n", "sk"), "node"), "join-side")
-    cross = side.alias("x").join(side.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & _near("x", "y"))
+    drop(members, first, comp)
+    open_ = part.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig")
+    side = keep(spark, part.join(open_, "sig").join(nodes.select("node", "n", "sk"), "node"), "join-side")
+    cross = side.alias("x").join(side.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & _near("x", "y", percent))
     second = keep(spark, cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "join-second")
-    more = _verified(spark, docs, nodes, second)
-    comp = components(spark, links.union(more))
+    drop(part, side)
+    links += _verified(spark, docs, nodes, second, n, percent, passes)
+    comp = components(spark, reduce(DataFrame.unionAll, links))
 
-    rooted = nodes.select("node", "root").join(comp, "node", "left").select("node", "root", F.coalesce("comp", "node").alias("comp"))
-    rooted = keep(spark, rooted, "join-rooted")
+    rooted = keep(spark, nodes.select("node", "root").join(comp, "node", "left").select("node", "root", F.coalesce("comp", "node").alias("comp")), "join-rooted")
+    drop(*links, second, nodes, comp)
     least = rooted.groupBy("comp").agg(F.min("root").alias("component_id"))
     labels = rooted.select("node", "comp").join(least, "comp").select(F.col("node").alias("of_node"), "component_id")
-    out = feats.select("doc_id", "n", "node").join(labels, F.col("node") == F.col("of_node"), "left")
+    out = ids.join(labels, F.col("node") == F.col("of_node"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def one_of_each(spark: SparkSession, docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id.
 
     Of rows that repeat a doc_id the one with the least text stays; rows without doc_id stay as they are.
@@ -216,31 +341,32 @@ def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
         whole = whole.where("id__ IS NOT NULL")
     if (odd["most"] or 0) > 1:
         whole = keep(spark, whole.groupBy("id__").agg(F.min_by("row__", F.struct(F.col("row__.text"), F.xxhash64("row__"))).alias("row__")), "join-once")
-    found = jaccard_components(spark, whole.select(F.col("id__").alias("doc_id"), F.col("row__.text").alias("text")))
-    drop = keep(spark, found.where("n_shingles > 0 AND component_id <> doc_id").select(F.col("doc_id").alias("gone__")).distinct(), "join-gone")
-    kept = whole.join(sized(drop), whole["id__"] == drop["gone__"], "left_anti")
+    found = jaccard_components(spark, whole.select(F.col("id__").alias("doc_id"), F.col("row__.text").alias("text")), n, percent)
+    gone = keep(spark, found.where("n_shingles > 0 AND component_id <> doc_id").select(F.col("doc_id").alias("gone__")).distinct(), "join-gone")
+    kept = whole.join(sized(gone), whole["id__"] == gone["gone__"], "left_anti")
     kept = kept.unionByName(unnamed) if odd["nulls"] else kept
     return kept.select("row__.*")
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(spark, table(spark, sf_dir, "documents"))
+    return jaccard_components(spark, table(spark, sf_dir, "documents"), OP4_N, OP4_PERCENT)
 
 
-def join_sql(docs: str = "documents") -> str:
+def join_sql(docs: str = "documents", n: int = N, percent: int = PERCENT) -> str:
     """CTEs (WITH RECURSIVE) that end in `linked(doc_id, n_shingles, component_id)`."""
+    window = " || ' ' || ".join(["w[i]", *[f"w[i+{k}]" for k in range(1, n)]])
     return rf"""
 jt AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM {docs}),
 js AS (SELECT DISTINCT doc_id, g FROM (
-  SELECT doc_id, w[i] || ' ' || w[i+1] || ' ' || w[i+2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w)-1)) AS i FROM jt WHERE len(w) >= 3)
-  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM jt WHERE len(w) BETWEEN 1 AND 2)),
+  SELECT doc_id, {window} AS g FROM (SELECT doc_id, w, unnest(range(1, len(w)-{n - 2})) AS i FROM jt WHERE len(w) >= {n})
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM jt WHERE len(w) BETWEEN 1 AND {n - 1})),
 jz AS (SELECT doc_id, count(*) AS n FROM js GROUP BY doc_id),
 jsh AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM js a JOIN jz za ON za.doc_id = a.doc_id JOIN js b ON a.g = b.g AND a.doc_id < b.doc_id JOIN jz zb ON zb.doc_id = b.doc_id
-  AND 10 * least(za.n, zb.n) >= 9 * greatest(za.n, zb.n) GROUP BY 1, 2),
-je AS (SELECT a, b FROM jsh JOIN jz za ON za.doc_id = a JOIN jz zb ON zb.doc_id = b WHERE 100 * i >= 90 * (za.n + zb.n - i)),
+  AND 100 * least(za.n, zb.n) >= {percent} * greatest(za.n, zb.n) GROUP BY 1, 2),
+je AS (SELECT a, b FROM jsh JOIN jz za ON za.doc_id = a JOIN jz zb ON zb.doc_id = b WHERE 100 * i >= {percent} * (za.n + zb.n - i)),
 je2 AS (SELECT a, b FROM je UNION SELECT b, a FROM je),
 jr(x, y) AS (SELECT doc_id, doc_id FROM jt UNION SELECT jr.x, je2.b FROM jr JOIN je2 ON jr.y = je2.a),
 linked AS (SELECT jt.doc_id, coalesce(jz.n, 0) AS n_shingles, c.component_id FROM jt LEFT JOIN jz ON jz.doc_id = jt.doc_id JOIN (SELECT x, min(y) AS component_id FROM jr GROUP BY x) c ON c.x = jt.doc_id)"""
 
 
-OP4_SQL = f"WITH RECURSIVE {join_sql().strip()} SELECT doc_id, n_shingles, component_id FROM linked"
+OP4_SQL = f"WITH RECURSIVE {join_sql("documents", OP4_N, OP4_PERCENT).strip()} SELECT doc_id, n_shingles, component_id FROM linked"
