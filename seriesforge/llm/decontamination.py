@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, keep, shingles, sized, table, text_or_empty, words
+from .common import ascii_lower, drop, keep, shingles, sized, table, text_or_empty, tracked, words
 
 N = 5
 THRESHOLD = 0.8
@@ -72,7 +72,9 @@ def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, threshold: flo
 
 def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the documents that hold a benchmark item."""
-    bad = keep(spark, leaks(spark, docs, items).select(F.col("doc_id").alias("bad_doc")).distinct(), "leaked-docs")
+    with tracked() as made:
+        bad = keep(spark, leaks(spark, docs, items).select(F.col("doc_id").alias("bad_doc")).distinct(), "leaked-docs")
+        drop(*[t for t in made if t is not bad])
     return docs.join(sized(bad), docs["doc_id"].eqNullSafe(bad["bad_doc"]), "left_anti")
 
 

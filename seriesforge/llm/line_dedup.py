@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, ascii_lower, keep, sized, table, text_or_empty
+from .common import SPACE_CHARS, ascii_lower, drop, keep, sized, table, text_or_empty
 
 MIN_DOCS = 10
 MIN_KEY = 1
@@ -34,26 +34,31 @@ def frequent_lines(spark: SparkSession, docs: DataFrame, min_docs: int = MIN_DOC
     hashes = F.array_distinct(F.transform(lines_of(F.col("text")), lambda x: line_hash(x, min_key)))
     seen = keep(spark, docs.select(F.col("doc_id").alias("in_doc"), F.explode(hashes).alias("h")).where("h IS NOT NULL"), "line-hashes")
     hot = keep(spark, seen.distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("h"), "line-hot")
-    return keep(spark, seen.join(sized(hot), "h").groupBy("in_doc").agg(F.collect_set("h").alias("hot")), "line-docs")
+    found = keep(spark, seen.join(sized(hot), "h").groupBy("in_doc").agg(F.collect_set("h").alias("hot")), "line-docs")
+    drop(seen, hot)
+    return found
+
+
+def _kept_lines(spark: SparkSession, docs: DataFrame, min_docs: int, min_key: int) -> DataFrame:
+    """(row, n_lines, kept array<string>) of every row; the columns of docs are inside row, so their names can't clash with any here."""
+    hot = frequent_lines(spark, docs, min_docs, min_key)
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("id"), lines_of(docs["text"]).alias("lines"))
+    joined = whole.join(sized(hot), F.col("id").eqNullSafe(F.col("in_doc")), "left")
+    kept = F.when(F.col("hot").isNull(), F.col("lines")).otherwise(
+        F.filter("lines", lambda x: ~F.coalesce(F.array_contains(F.col("hot"), line_hash(x, min_key)), F.lit(False))))
+    return joined.select("row", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, min_docs: int = MIN_DOCS, min_key: int = MIN_KEY) -> DataFrame:
     """docs with text replaced by the kept lines, and n_lines, n_dropped added (columns of these names give way)."""
-    hot = frequent_lines(spark, docs, min_docs, min_key).select(F.col("in_doc").alias("in_doc__"), F.col("hot").alias("hot__"))
-    joined = docs.join(sized(hot), docs["doc_id"].eqNullSafe(hot["in_doc__"]), "left")
-    lines = lines_of(docs["text"])
-    kept = F.when(F.col("hot__").isNull(), lines).otherwise(
-        F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("hot__"), line_hash(x, min_key)), F.lit(False))))
-    rest = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    named = joined.select(*[docs[c] for c in rest], F.size(lines).cast("long").alias("n_lines"), kept.alias("kept__"))
-    return named.select(*rest, F.array_join("kept__", "\n").alias("text"), "n_lines", (F.col("n_lines") - F.size("kept__")).cast("long").alias("n_dropped"))
+    rest = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
+    return _kept_lines(spark, docs, min_docs, min_key).select(*rest, F.array_join("kept", "\n").alias("text"), "n_lines", (F.col("n_lines") - F.size("kept")).cast("long").alias("n_dropped"))
 
 
-def without_frequent_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def without_frequent_lines(spark: SparkSession, docs: DataFrame, min_docs: int = MIN_DOCS, min_key: int = MIN_KEY) -> DataFrame:
     """docs, all columns as they are, with text replaced by the kept lines."""
-    whole = F.struct(*[docs[c] for c in docs.columns]).alias("row__")
-    done = dedup_lines(spark, docs.select("doc_id", "text", whole))
-    return done.select(*[F.col("text").alias("text") if c == "text" else F.col("row__")[c].alias(c) for c in docs.columns])
+    done = _kept_lines(spark, docs, min_docs, min_key)
+    return done.select(*[F.array_join("kept", "\n").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

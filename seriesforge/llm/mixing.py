@@ -68,12 +68,12 @@ def mix_plan(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents of the mix, each as many times as it is taken; columns of docs."""
+    """The documents of the mix, each as many times as it is taken; columns of docs, whatever their names."""
     r = rates(spark, docs.select("source", size_of(F.col("text")).alias("size")))
-    r = r.select("at_source", F.col("rate").alias("mix_rate__"))
-    joined = docs.join(sized(r), docs["source"].eqNullSafe(r["at_source"]), "left")
-    times = copies(F.col("mix_rate__"), docs["doc_id"]).cast("int")
-    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), times)).alias("copy__")).drop("copy__")
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["source"].alias("of"), docs["doc_id"].alias("id"))
+    joined = whole.join(sized(r), F.col("of").eqNullSafe(F.col("at_source")), "left")
+    times = copies(F.col("rate"), F.col("id")).cast("int")
+    return joined.select("row", F.explode(F.array_repeat(F.lit(1), times)).alias("one")).select("row.*")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

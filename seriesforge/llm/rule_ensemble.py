@@ -20,8 +20,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, table, text_or_empty, words
-from .text_stats import SYMBOLS, removed, repeated_words
+from .common import table, text_or_empty, words
+from .text_stats import SYMBOLS, beside, full_lines, removed, repeated_words
 
 MAX_LABELS = 20_000
 TREES, DEPTH, SHRINK, MIN_LEAF, CUTS = 24, 3, 0.3, 10, 24
@@ -35,17 +35,15 @@ def held_out(doc_id: Column) -> Column:
 
 
 def with_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs + STATS (double); the shares are per word or per code point."""
-    text = text_or_empty(F.col(text_col))
-    parts = docs.withColumns({"w__": words(F.col(text_col)), "l__": F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "")})
-    counted = parts.withColumns({"n__": F.greatest(F.size("w__"), F.lit(1)).cast("double"), "c__": F.greatest(F.length(text), F.lit(1)).cast("double"),
-                                 "m__": F.greatest(F.size("l__"), F.lit(1)).cast("double")})
-    n, c, m = F.col("n__"), F.col("c__"), F.col("m__")
-    return counted.withColumns({
-        "n_words": F.size("w__").cast("double"), "word_length": F.length(F.array_join("w__", "")) / n, "distinct": F.size(F.array_distinct("w__")) / n,
-        "repeated": repeated_words(F.col("w__")) / n, "symbols": removed(text, SYMBOLS) / n, "dup_lines": (F.size("l__") - F.size(F.array_distinct("l__"))) / m,
+    """docs + STATS (double; columns of these names give way); the shares are per word or per code point."""
+    text = text_or_empty(F.col("text"))
+    at_least_one = lambda c: F.greatest(c, F.lit(1)).cast("double")
+    n, c, m = at_least_one(F.size("w")), at_least_one(F.length(text)), at_least_one(F.size("lines"))
+    return beside(docs, text_col, {"w": words(F.col("text")), "lines": full_lines(text)}, {
+        "n_words": F.size("w").cast("double"), "word_length": F.length(F.array_join("w", "")) / n, "distinct": F.size(F.array_distinct("w")) / n,
+        "repeated": repeated_words(F.col("w")) / n, "symbols": removed(text, SYMBOLS) / n, "dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))) / m,
         "upper": removed(text, "[A-Z]") / c, "bangs": removed(text, "[!?]") / n, "commas": removed(text, ",") / n, "stops": removed(text, r"\.") / n,
-        "digits": removed(text, "[0-9]") / c, "line_words": F.size("w__") / m}).drop("w__", "l__", "n__", "c__", "m__")
+        "digits": removed(text, "[0-9]") / c, "line_words": F.size("w") / m})
 
 
 def sample_labels(labels: DataFrame, label: str, most: int) -> DataFrame:

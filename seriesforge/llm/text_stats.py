@@ -29,14 +29,29 @@ def removed(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def beside(docs: DataFrame, text_col: str, parts: dict[str, Column], made: dict[str, Column]) -> DataFrame:
+    """docs + the columns `made`, whose expressions may use `parts`, columns of their own; columns of docs named like a made one
+    give way, all others stay whatever their names."""
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].alias("text"))
+    rows = rows.withColumns(parts).withColumns({f"made_{k}": v for k, v in made.items()})
+    return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in made], *[F.col(f"made_{k}").alias(k) for k in made])
+
+
+def full_lines(text: Column) -> Column:
+    """Lines with a word."""
+    return F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "")
+
+
 def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs + n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long)."""
-    text = text_or_empty(F.col(text_col))
-    with_words = docs.withColumns({"w__": words(F.col(text_col)), "lines__": F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "")})
-    return with_words.withColumns({
-        "n_words": F.size("w__").cast("long"),
-        "word_chars": F.length(F.array_join("w__", "")).cast("long"),
+    """docs + BASE (long)."""
+    text = text_or_empty(F.col("text"))
+    return beside(docs, text_col, {"w": words(F.col("text")), "lines": full_lines(text)}, {
+        "n_words": F.size("w").cast("long"),
+        "word_chars": F.length(F.array_join("w", "")).cast("long"),
         "n_symbols": removed(text, SYMBOLS).cast("long"),
-        "n_dup_lines": (F.size("lines__") - F.size(F.array_distinct("lines__"))).cast("long"),
-        "n_repeat_words": repeated_words(F.col("w__")).cast("long"),
-    }).drop("w__", "lines__")
+        "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
+        "n_repeat_words": repeated_words(F.col("w")).cast("long"),
+    })
