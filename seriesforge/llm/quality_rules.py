@@ -2,8 +2,9 @@
 
 Every document is judged by rules over its whole text; failures are summed by domain (the `source` column) with
 map-side partial counts, each domain's failure rate is shrunk towards the corpus by a beta prior whose strength is
-fitted to the spread of the domain rates (moments), and a domain whose shrunk rate of some rule exceeds the limit is
-rejected; its verdict is joined back to its documents.
+fitted to the spread of the domain rates (moments).  A domain is rejected if, for some rule, its posterior puts a chance of 95
+percent or more (normal approximation) on a rate above the limit: ODDS times the corpus's odds of failing, and LEAST_RATE
+at least, so that no domain goes for the sake of a few bad documents.  The verdict is joined back to the documents.
 
 Defined results: null or empty text has no words and fails the length rule; null source is a domain of its own; an
 empty table gives an empty result; repeated rows are judged one by one.
@@ -24,8 +25,8 @@ MAX_REPEAT_PERCENT = 50
 MAX_SYMBOL_PERCENT = 30
 #: Repeated lines for each hundred words: texts made of short lines that repeat.
 MAX_DUP_LINE_PERCENT = 10
-#: A domain goes when the shrunk share of its documents that fail some one rule is above this.
-MAX_RATE = 0.5
+#: A domain's rate is too high above ODDS times the corpus's odds, and above LEAST_RATE; CERTAIN: the normal quantile of 95 percent.
+ODDS, LEAST_RATE, CERTAIN = 3.0, 0.25, 1.645
 
 
 def base_failed() -> Column:
@@ -41,6 +42,13 @@ def rule_columns() -> dict[str, Column]:
     }
 
 
+def _too_high(failed: Column, n: Column, m: Column, s: Column) -> Column:
+    """The beta posterior of a domain's rate lies above the limit."""
+    rate = (failed + s * m) / (n + s)
+    limit = F.greatest(F.lit(LEAST_RATE), ODDS * m / (1 - m + ODDS * m))
+    return rate - CERTAIN * F.sqrt(rate * (1 - rate) / (n + s + 1)) > limit
+
+
 def host_verdicts(spark: SparkSession, counted: DataFrame, host_col: str = "source") -> DataFrame:
     """(at_host, host_ok) from documents with base counts; written.
 
@@ -62,7 +70,7 @@ def host_verdicts(spark: SparkSession, counted: DataFrame, host_col: str = "sour
         prior = prior.withColumn(f"m_{k}", m).withColumn(f"s_{k}", F.when(excess > 0, F.greatest(F.lit(1.0), m * (1 - m) / excess - 1)).otherwise(1e6))
     prior = prior.select(*[f"{p}_{k}" for p in "ms" for k in rules])
     shrunk = by_host.join(F.broadcast(prior), F.lit(True))
-    ok = reduce(lambda a, b: a & b, [(F.col(k) + F.col(f"s_{k}") * F.col(f"m_{k}")) / (F.col("n") + F.col(f"s_{k}")) <= MAX_RATE for k in rules])
+    ok = reduce(lambda a, b: a & b, [~_too_high(F.col(k), F.col("n"), F.col(f"m_{k}"), F.col(f"s_{k}")) for k in rules])
     return keep(spark, shrunk.select("at_host", ok.alias("host_ok")), "host-verdicts")
 
 
@@ -107,7 +115,7 @@ ho AS (SELECT source, count(*) AS n, {per_rule(lambda k: f"sum({k}) AS {k}")} FR
 tt AS (SELECT sum(n) AS bign, count(*) AS bigh, {per_rule(lambda k: f"sum({k}) / sum(n)::DOUBLE AS m_{k}")} FROM ho),
 vv AS (SELECT {per_rule(lambda k: f"sum(n * pow({k} / n::DOUBLE - m_{k}, 2)) / any_value(bign) - any_value(m_{k} * (1 - m_{k}) * bigh / bign) AS x_{k}")} FROM ho, tt),
 pr AS (SELECT {per_rule(lambda k: f"m_{k}, CASE WHEN x_{k} > 0 THEN greatest(1.0::DOUBLE, m_{k} * (1 - m_{k}) / x_{k} - 1) ELSE 1e6::DOUBLE END AS s_{k}")} FROM tt, vv),
-hv AS (SELECT source, {" AND ".join(f"({k} + s_{k} * m_{k}) / (n + s_{k}) <= {MAX_RATE}" for k in ("f_short", "f_repeat", "f_symbols", "f_dup_lines"))} AS host_ok FROM ho, pr),
+hv AS (SELECT source, {" AND ".join(f"NOT (r_{k} - {CERTAIN}::DOUBLE * sqrt(r_{k} * (1 - r_{k}) / (n + s_{k} + 1)) > greatest({LEAST_RATE}::DOUBLE, {ODDS}::DOUBLE * m_{k} / (1 - m_{k} + {ODDS}::DOUBLE * m_{k})))" for k in ("f_short", "f_repeat", "f_symbols", "f_dup_lines"))} AS host_ok FROM (SELECT *, {per_rule(lambda k: f"({k} + s_{k} * m_{k}) / (n + s_{k}) AS r_{k}")} FROM ho, pr)),
 judged AS (SELECT qid, doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (f_short + f_repeat > 0) AS base_failed, (f_short + f_repeat = 0 AND host_ok) AS kept
   FROM fl JOIN hv ON fl.source IS NOT DISTINCT FROM hv.source)"""
 
