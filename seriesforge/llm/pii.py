@@ -1,7 +1,7 @@
 """Personal data: patterns, and information-theoretic sanitisation of the terms around them (native).
 
-Base spans (email, ip, card, phone) come from leftmost matches over the whole text.  Each match is a mention of a
-protected entity; its context is the CONTEXT code points on either side.  Contexts are counted once each, so copies
+Base spans (email, ip, card, phone) come from leftmost matches over the whole text, secrets (values given to a name like token,
+password or api_key) likewise.  Each match is a mention of a protected entity; its context is the CONTEXT code points on either side.  Contexts are counted once each, so copies
 of a passage are no evidence.  For entity e and term t with p(t|e) the share of e's contexts that hold t and p(t)
 the chance that a context of the corpus holds t (from the term's count over all texts), and p(t|e) drawn towards it by
 PRIOR contexts, so that an entity with one or two contexts is scored too:
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, ascii_lower, keep, let, sized, table, text_or_empty, words
 
-KINDS = ("email", "ip", "card", "phone", "term")
+KINDS = ("email", "ip", "card", "phone", "secret", "term")
 CONTEXT = 120
 PRIOR = 1.0
 DISCLOSE = 0.8
@@ -36,6 +36,9 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: A name of a secret, what stands between it and its value, and the value.
+_NAMED = r"(?i:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|secret[_-]?key|auth[_-]?key|client[_-]?secret)"
+SECRET = rf"({_NAMED}[\"']?\x20{{0,3}}[:=]\x20{{0,3}}[\"']?)([A-Za-z0-9+/_=.~-]{{8,}}+)"
 _SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
 _EDGE = ".,;:!?()[]{}\"'"
 
@@ -85,6 +88,13 @@ def base_spans(text: Column) -> Column:
     return F.concat(*found)
 
 
+def secret_spans(text: Column, base: Column) -> Column:
+    """Values of secrets that no base span touches."""
+    spans = _marked_spans(F.regexp_replace(text, SECRET, "$1\x01$2\x02"), KINDS.index("secret"), lambda v: F.lit(True))
+    free = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    return F.when(F.rlike(text, F.lit(_NAMED)), F.filter(spans, free)).otherwise(F.array().cast(_SPAN))
+
+
 def term_of(word: Column) -> Column:
     return ascii_lower(F.btrim(word, F.lit(_EDGE)))
 
@@ -102,8 +112,8 @@ def joined(spans: Column) -> Column:
 
 
 def mentions(found: DataFrame) -> DataFrame:
-    """(doc_id, entity, ctx, terms) for every base span of found(doc_id, text, base)."""
-    one = found.select("doc_id", "text", F.explode("base").alias("s")).select("doc_id", "text", "s.*")
+    """(doc_id, entity, ctx, terms) for every span of found(doc_id, text, named)."""
+    one = found.select("doc_id", "text", F.explode("named").alias("s")).select("doc_id", "text", "s.*")
     # The outermost word of each side may be cut by the window, so it does not count.
     left = F.regexp_replace(F.substring(F.col("text"), F.greatest(F.col("start") - CONTEXT + 1, F.lit(1)), F.least(F.col("start"), F.lit(CONTEXT))), r"^[^\x20\x09-\x0D]*", "")
     right = F.regexp_replace(F.substring(F.col("text"), F.col("end") + 1, F.lit(CONTEXT)), r"[^\x20\x09-\x0D]*$", "")
@@ -129,26 +139,28 @@ def disclosing(spark: SparkSession, docs: DataFrame, said: DataFrame) -> DataFra
 
 
 def find(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(doc_id, base, spans, text) for every row of docs; spans holds the base ones and the disclosing terms."""
-    docs = docs.select("doc_id", plain(F.col("text")).alias("text"))
-    found = docs.withColumn("base", base_spans(F.col("text")))
-    base = keep(spark, found.select("doc_id", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")), "pii-base")
-    said = keep(spark, mentions(base.where(F.size("base") > 0)), "pii-mentions")
+    """(doc_id, base, spans, text) for every row of docs; spans holds the base ones, the secrets and the disclosing terms, text is
+    there where spans are."""
+    docs = docs.select("doc_id", F.col("text").alias("raw"), plain(F.col("text")).alias("text"))
+    found = docs.withColumn("base", base_spans(F.col("text"))).withColumn("named", F.concat("base", secret_spans(F.col("text"), F.col("base"))))
+    some = F.size("named") > 0
+    base = keep(spark, found.select("doc_id", "base", "named", F.when(some, F.col("text")).alias("text"), F.when(some, F.col("raw")).alias("raw")), "pii-base")
+    said = keep(spark, mentions(base.where(some)), "pii-mentions")
     told = disclosing(spark, docs, said)
     # Only terms that the document holds: an entity's documents times all its terms would grow with the square.
-    held = base.where(F.size("base") > 0).select("doc_id", F.explode(F.array_distinct(F.transform(words(F.col("text")), term_of))).alias("term"))
+    held = base.where(some).select("doc_id", F.explode(F.array_distinct(F.transform(words(F.col("text")), term_of))).alias("term"))
     held = keep(spark, held.join(sized(keep(spark, told.select("term").distinct(), "pii-told")), "term", "left_semi").distinct(), "pii-held")
     named = said.select(F.col("doc_id").alias("in_doc"), "entity").distinct()
     by_doc = held.join(named, held["doc_id"].eqNullSafe(named["in_doc"])).join(sized(told), ["entity", "term"])
     by_doc = keep(spark, by_doc.groupBy("in_doc").agg(F.collect_set("term").alias("told")), "pii-docs")
     joint = base.join(sized(by_doc), base["doc_id"].eqNullSafe(by_doc["in_doc"]), "left")
-    extra = F.when(F.col("told").isNotNull() & F.col("text").isNotNull(), term_spans(F.col("text"), F.col("told"), F.col("base"))).otherwise(F.array().cast(_SPAN))
-    return joint.select("doc_id", "base", F.concat("base", extra).alias("spans"), "text")
+    extra = F.when(F.col("told").isNotNull() & F.col("text").isNotNull(), term_spans(F.col("text"), F.col("told"), F.col("named"))).otherwise(F.array().cast(_SPAN))
+    return joint.select("doc_id", "base", F.concat("named", extra).alias("spans"), F.col("raw").alias("text"))
 
 
 def report(found: DataFrame) -> DataFrame:
-    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *[count(k) for k in KINDS[:4]], F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
 def sanitised(found: DataFrame, docs: DataFrame) -> DataFrame:
