@@ -21,7 +21,7 @@ or id), and without what lies outside article or main where the page has one.  H
 share no such element, have no slot and keep their text by region alone.
 
 Defined results: null or empty html gives an empty text; null url is a host of its own; unclosed or stray tags close with
-their block; repeated pages count once and each get a row; an empty table gives an empty result.  Character references are
+their block, a tag without its > runs to the end of the page, < without a name is text; page ids may have any type; repeated pages count once and each get a row; an empty table gives an empty result.  Character references are
 decoded, white space `[\\x20\\x09-\\x0D]` in a block becomes one space, blocks join by one newline.
 """
 
@@ -36,6 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import keep, sized, table
 from .url_filters import host_of
@@ -47,8 +48,9 @@ MAX_AROUND, MAX_FEW, FEW = 0.5, 0.8, 100
 #: Elements that can delimit the main slot; how article and main look in a path.
 BOXES = ("article", "main", "body", "div", "section", "td")
 IN_MAIN = r"/(article|main)(\.[^/]*)?(/|$)"
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'<])*?)(/?)>", re.S)
-_ATTR = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+_QUOTED = re.compile(r"[\"'>]")
+_ATTR = re.compile(r"\b(class|id|role)\s{0,9}=\s{0,9}(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))", re.I)
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -61,6 +63,53 @@ _CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "
 _P_ENDERS = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 
+class _Scan:
+    """Tags of a page from left to right, in linear time: each search starts where an earlier one ended, and what was not found
+    once is not looked for again.  A tag that is never closed runs to the end of the page; < without a name, ! or ? is text."""
+
+    def __init__(self, page: str):
+        self.page, self.size, self.none = page, len(page), set()
+
+    def find(self, what: str, at: int) -> int:
+        """Place of `what` from `at` on, else the page's end."""
+        if what in self.none:
+            return self.size
+        place = self.page.find(what, at)
+        if place < 0:
+            self.none.add(what)
+            return self.size
+        return place
+
+    def close(self, at: int) -> int:
+        """Place of the > that ends a tag, outside quotes; a quote that is never closed is a plain character."""
+        while m := _QUOTED.search(self.page, at):
+            if m[0] == ">":
+                return m.start()
+            end = self.find(m[0], m.end())
+            at = end + 1 if end < self.size else m.end()
+        return self.size
+
+    def next(self, at: int) -> tuple[int, int, str, str, bool, bool] | None:
+        """(start, end, name, attributes, closing, self-closing) of the next tag; comments and the like have an empty name."""
+        page, look = self.page, at
+        while (start := self.find("<", look)) < self.size:
+            if page.startswith("<!--", start):
+                end = self.find("-->", start + 4)
+                return start, min(end + 3, self.size), "", "", False, False
+            if page.startswith("<![CDATA[", start):
+                end = self.find("]]>", start + 9)
+                return start, min(end + 3, self.size), "", "", False, False
+            if page.startswith(("<!", "<?"), start):
+                return start, min(self.find(">", start) + 1, self.size), "", "", False, False
+            closing = page.startswith("</", start)
+            if m := _NAME.match(page, start + 1 + closing):
+                end = self.close(m.end())
+                attrs = page[m.end():end]
+                return start, min(end + 1, self.size), m[0].lower(), attrs, closing, attrs.endswith("/")
+            look = start + 1
+        return None
+
+
 class _Frame:
     __slots__ = ("away", "main", "name", "path")
 
@@ -91,22 +140,22 @@ def parse(page: str) -> tuple[list[tuple[str, _Frame, str]], bool]:
     """[(kind, frame, value)] with kind `tag`, `text` or `block` (a block boundary), and whether there is a main region."""
     stack = [_Frame("", "", False, False)]
     out: list[tuple[str, _Frame, str]] = []
-    main, at, size = False, 0, len(page)
+    main, at, size, scan = False, 0, len(page), _Scan(page)
     while at < size:
-        m = _TOKEN.search(page, at)
-        if m is None:
+        found = scan.next(at)
+        if found is None:
             break
-        if m.start() > at:
-            out.append(("text", stack[-1], page[at:m.start()]))
-        at = m.end()
-        if not m[2]:
+        start, end, name, attrs, closing, alone = found
+        if start > at:
+            out.append(("text", stack[-1], page[at:start]))
+        at = end
+        if not name:
             continue
-        name = m[2].lower()
-        if name in _RAW and not m[1] and not m[4]:
-            end = re.compile(rf"</{name}[\x20\x09-\x0D>/]", re.I).search(page, at)
-            close = page.find(">", end.start()) if end else -1
+        if name in _RAW and not closing and not alone:
+            while (close := scan.find("</", at)) < size and page[close + 2:close + 2 + len(name)].lower() != name:
+                at = close + 2
             out.append(("tag", stack[-1], name))
-            at = close + 1 if close >= 0 else size
+            at = min(scan.find(">", close) + 1, size) if close < size else size
             if name not in _INLINE:
                 out.append(("block", stack[-1], name))
             continue
@@ -115,7 +164,7 @@ def parse(page: str) -> tuple[list[tuple[str, _Frame, str]], bool]:
                 out.append(("text", stack[-1], " "))
             continue
         out.append(("block", stack[-1], name))
-        if m[1]:
+        if closing:
             depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name), 0)
             if depth:
                 out.append(("tag", stack[depth], "/"))
@@ -127,15 +176,15 @@ def parse(page: str) -> tuple[list[tuple[str, _Frame, str]], bool]:
                 stack.pop()
         top = stack[-1]
         here = name in ("article", "main")
-        away = top.away or name in _AWAY or (name == "header" and not top.main) or _hinted(m[3])
+        away = top.away or name in _AWAY or (name == "header" and not top.main) or _hinted(attrs)
         if here and not away:
             main = True
-        segment = _segment(name, m[3])
+        segment = _segment(name, attrs)
         frame = _Frame(name, f"{top.path}/{segment}", away, top.main or here)
         out.append(("tag", frame, segment))
-        if name not in _VOID and not m[4]:
+        if name not in _VOID and not alone:
             stack.append(frame)
-    if at < size and not page.startswith("<", at):
+    if at < size:
         out.append(("text", stack[-1], page[at:]))
     return out, main
 
@@ -276,7 +325,8 @@ def main_texts(spark: SparkSession, pages: DataFrame) -> DataFrame:
                 texts.append(extract(page.as_py() or "", slot.as_py(), known))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    schema = StructType([pages.schema["page_id"], StructField("url", StringType()), StructField("text", StringType()), StructField("n_chars", LongType())])
+    return joined.mapInArrow(run, schema)
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
