@@ -73,11 +73,11 @@ def test_leaks_partly_and_in_long_texts(spark):
     assert 21 / 26 >= 0.8 > 16 / 26
 
 
-def brute_components(texts):
+def brute_components(texts, n, percent):
     sets = []
     for t in texts:
         w = WORD.findall((t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
-        sets.append(frozenset(tuple(w[i:i + 3]) for i in range(max(1, len(w) - 2))) if w else frozenset())
+        sets.append(frozenset(tuple(w[i:i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset())
     up = list(range(len(sets)))
 
     def root(i):
@@ -86,13 +86,14 @@ def brute_components(texts):
         return i
     for i in range(len(sets)):
         for j in range(i):
-            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j]):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 a, b = root(i), root(j)
                 up[max(a, b)] = min(a, b)
     return [(root(i), i, len(s)) for i, s in enumerate(sets)]
 
 
-def test_join_against_brute_force(spark):
+@pytest.mark.parametrize("n, percent", [(3, 90), (5, 80)])
+def test_join_against_brute_force(spark, n, percent):
     import random
     r = random.Random(4)
     texts = [None, "", "a", "A", "a b", "a b", "É x y z"]
@@ -100,11 +101,33 @@ def test_join_against_brute_force(spark):
         words = [f"v{r.randrange(900)}" for _ in range(r.choice([8, 15, 40, 120, 400, 1500]))]
         for _ in range(14):
             w = list(words)
-            for _ in range(r.randrange(0, max(2, len(w) // 25))):
+            for _ in range(r.randrange(0, max(2, len(w) // 25 if percent == 90 else len(w) // 18))):
                 w[r.randrange(len(w))] = f"n{r.randrange(10**6)}"
             texts.append(" ".join(w))
-    got = rows(ngram_join.jaccard_components(spark, docs(spark, texts)).select("component_id", "doc_id", F.col("n_shingles")))
-    assert got == sorted(brute_components(texts), key=repr)
+    got = rows(ngram_join.jaccard_components(spark, docs(spark, texts), n, percent).select("component_id", "doc_id", F.col("n_shingles")))
+    want = brute_components(texts, n, percent)
+    assert got == sorted(want, key=repr)
+    assert sum(c != d for c, d, _ in want) > 20  # there are links to find
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_unrelated_sets_share_no_signature_and_linked_ones_do(percent):
+    import numpy as np
+    rng = np.random.default_rng(5)
+    random_set = lambda size: np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+    for size in (10, 60, 300, 900):
+        seen = Counter(x for _ in range(400) for x in set(ngram_join.signatures(random_set(size), percent).tolist()))
+        assert max(seen.values()) == 1, size
+    linked = 0
+    for _ in range(1500):
+        s = random_set(int(rng.integers(2, 400)))
+        gone, new = rng.integers(0, len(s) // 8 + 1, 2)
+        a, b = s[rng.permutation(len(s))[gone:]], np.unique(np.concatenate([s, random_set(int(new))]))
+        a.sort()
+        if 100 * len(a) >= percent * len(b) and len(a) < len(b):
+            linked += 1
+            assert np.intersect1d(ngram_join.signatures(a, percent), ngram_join.signatures(b, percent)).size
+    assert linked > 300
 
 
 def test_quality_and_mixing_edges(spark):
@@ -185,6 +208,110 @@ def test_field_marginals_against_enumeration():
     assert all(abs(a - b / total) < 1e-12 for a, b in zip(f.marginals(odds), toxic))
 
 
+def test_distributed_training_equals_training_on_a_list(spark):
+    import random
+    r = random.Random(3)
+    texts, y = [], []
+    for i in range(120):
+        bad = i % 3 == 0
+        w = [f"w{r.randrange(300)}" for _ in range(r.choice([5, 60, 3000]))]
+        for _ in range(3 if bad else 0):
+            w[r.randrange(len(w))] = r.choice(["snarlbit", "grimpole"])
+        texts.append(" ".join(w))
+        y.append(int(bad))
+    d = docs(spark, texts)
+    labels = spark.createDataFrame([(i, v) for i, v in enumerate(y)], "doc_id long, toxic int")
+    learnt = [r["doc_id"] for r in labels.where(~rule_ensemble.held_out(F.col("doc_id"))).collect()]
+    one, two = toxicity.fit(spark, d, labels), toxicity.train([texts[i] for i in learnt], [y[i] for i in learnt])
+    assert set(one.weights) == set(two.weights) and "w:snarlbit" in one.weights
+    got = {r["doc_id"]: (r["score"], r["spans"]) for r in toxicity.tagged(d, one).collect()}
+    assert all((got[i][0] >= 0.5) == bool(y[i]) for i in got)
+    assert all(texts[i][s["start"]:s["end"]] in ("snarlbit", "grimpole") for i in got for s in got[i][1])
+
+
+def test_tags_by_stretches_equal_one_pass_over_the_chain():
+    import random
+    r = random.Random(8)
+    model = toxicity.Field({"w:bad": 2.5, "w:odd": 1.2}, -3.0, [[0.8, -0.4], [-0.2, 0.6]], 1.0, 0.0)
+    for size in (1, 7, 90, 700):
+        words = [r.choice(["bad", "odd"]) if r.random() < 0.03 else "x" for _ in range(size)]
+        emissions = [model.emission(w) for w in words]
+        import math
+        whole = model.marginals([math.exp(model.plain + (e or 0.0)) for e in emissions])
+        best, toxic = model.tag(emissions)
+        assert toxic == [i for i, p in enumerate(whole) if p >= 0.5]
+        if any(e is not None for e in emissions):
+            assert abs(best - max(whole)) < 1e-6
+
+
+def test_statistics_against_plain_python(spark):
+    texts = [None, "", "A b. c! C,\nA b.\n\n x 12 #\nA b. c", "one two three one two three four"]
+    for got, t in zip(rule_ensemble.with_stats(docs(spark, texts)).orderBy("doc_id").collect(), texts):
+        t = t or ""
+        w, lines = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
+        n, c, m = max(len(w), 1), max(len(t), 1), max(len(lines), 1)
+        tri = Counter(tuple(w[i:i + 3]) for i in range(len(w) - 2))
+        repeated = len({i + k for i in range(len(w) - 2) if tri[tuple(w[i:i + 3])] > 1 for k in range(3)})
+        count = lambda p: len(re.findall(p, t))  # noqa: B023, E731
+        want = {"n_words": len(w), "word_length": sum(map(len, w)) / n, "distinct": len(set(w)) / n, "repeated": repeated / n, "symbols": count(r"[#*$%&|<>]") / n,
+                "dup_lines": (len(lines) - len(set(lines))) / m, "upper": count("[A-Z]") / c, "bangs": count("[!?]") / n, "commas": count(",") / n, "stops": count(r"\.") / n,
+                "digits": count("[0-9]") / c, "line_words": len(w) / m}
+        for k, v in want.items():
+            assert abs(got[k] - v) < 1e-12, (t, k)
+
+
+def test_names_of_columns_never_clash(spark):
+    reserved = ["hot", "hot__", "copy__", "mix_rate__", "w__", "w", "lines", "row", "row__", "id", "in_doc", "kept", "rate", "of", "at_source", "one", "n_lines", "n_dropped", "key__", "root__"]
+    d = docs(spark, ["a b c\nd " * 30, None, "x y"]).drop("h", "hot", "row", "n_words", "at_source", "rate", "node")
+    for name in reserved:
+        d = d.withColumn(name, F.lit(name))
+    for run in (lambda x: line_dedup.without_frequent_lines(spark, x), lambda x: mixing.mixed(spark, x), lambda x: quality_rules.keep_good(spark, x), lambda x: ngram_join.one_of_each(spark, x),
+                lambda x: quality_rules.base_counts(x), lambda x: rule_ensemble.with_stats(x)):
+        out = run(d)
+        assert [c for c in d.columns if c not in out.columns] == []
+        assert all(r[name] == name for r in out.collect() for name in reserved)
+    assert set(reserved) - set(line_dedup.dedup_lines(spark, d).columns) == set()
+
+
+def test_ids_of_any_type(spark):
+    d = docs(spark, ["a b c d e f g"] * 2 + ["h i"]).withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    assert rows(ngram_join.jaccard_components(spark, d).select("component_id", "doc_id")) == [("d0", "d0"), ("d0", "d1"), ("d2", "d2")]
+    assert toxicity.tagged(d, toxicity.train([], [])).count() == 3
+    pages = spark.createDataFrame([("p", "http://a.b/c", "<p>x</p>")], "page_id string, url string, html string")
+    assert rows(html_extraction.main_texts(spark, pages)) == [(1, "p", "x", "http://a.b/c")]
+
+
+def test_broken_markup_takes_linear_time():
+    import time
+    for page in ("<p>hello</p><img " + 'x="1" ' * 16_000, "<a " * 40_000, "<p>x" + "<" * 100_000, '<p a="' * 20_000, "<script>" + "</" * 50_000, "<!--" * 30_000, "<p class=" + "class= " * 15_000):
+        began = time.time()
+        html_extraction.parse(page)
+        assert time.time() - began < 2
+    assert html_extraction.extract("<p>a < b<br>c</p><p title='x>y'>d</p><p>e</p><img alt='", None, frozenset()) == "a < b c\nd\ne"
+
+
+def test_host_verdicts_move_documents(spark):
+    good, bad = " ".join(f"g{i}" for i in range(80)), "short"
+    texts, source = [], []
+    for host, n, failing in (("big", 400, 4), ("fine", 300, 3), ("farm", 200, 120), ("unlucky", 3, 2)):
+        for i in range(n):
+            texts.append(bad if i < failing else f"{good} {host} {i}")
+            source.append(host)
+    kept = {(r["source"], r["kept"]): r["n"] for r in quality_rules.judge(spark, docs(spark, texts, source=source)).join(
+        docs(spark, texts, source=source).select("doc_id", "source"), "doc_id").groupBy("source", "kept").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert kept == {("big", True): 396, ("big", False): 4, ("fine", True): 297, ("fine", False): 3, ("farm", False): 200, ("unlucky", True): 1, ("unlucky", False): 2}
+
+
+def test_secrets(spark):
+    text = 'id a\x02b token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" then API_KEY: Zx81-abcdEF_9 and the token of love, token = no'
+    found = pii.find(spark, docs(spark, [text]))
+    got = pii.report(found).first()
+    at = [p.split(":") for p in got["spans"].split(",") if p.startswith("secret")]
+    assert [text[int(a):int(b)] for _, a, b in at] == ["04dbebab91ab85687d33eeaaf9ac699e1188f962", "Zx81-abcdEF_9"]
+    assert got["base_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert "a\x02b" in pii.sanitised(found, docs(spark, [text])).first()["text"]
+
+
 def test_rules_compile_to_the_same_scores(spark):
     import numpy as np
     r = np.random.default_rng(1)
