@@ -177,8 +177,16 @@ _elastic("twe", "twe", {"nu": 0.01, "lam": 0.1}, "least(#d + (#x - #y) * (#x - #
 _pairs("sbd", lambda a, b: N.distance("sbd", a, b), f"1 - list_max(list_transform(range(-63, 64), lambda k: {_SUM.format('list_transform(range(greatest(1, 1 + k), least(64, 64 + k) + 1), lambda i: a[CAST(i AS INTEGER)] * b[CAST(i - k AS INTEGER)])')})) / "
        f"(sqrt({_SUM.format('list_transform(a, lambda z: z * z)')}) * sqrt({_SUM.format('list_transform(b, lambda z: z * z)')}))")
 
+_SQ = "({0} - {1}) * ({0} - {1})"
+_END = "list_min(list_transform({r}, lambda j: least({x}, {y})))"
+_BANDS = (_SQ.format("a[1]", "b[1]") + " + " + _SQ.format("a[64]", "b[64]") + " + " + _SUM.format("list_transform(range(1, 5), lambda i: "
+          + _END.format(r="range(greatest(0, i - 5), i + 1)", x=_SQ.format(_at("a", "j + 1"), _at("b", "i + 1")), y=_SQ.format(_at("a", "i + 1"), _at("b", "j + 1"))) + " + "
+          + _END.format(r="range(63 - i, least(64, 69 - i))", x=_SQ.format(_at("a", "j + 1"), _at("b", "64 - i")), y=_SQ.format(_at("a", "64 - i"), _at("b", "j + 1"))) + ")"))
+_ENHANCED = f"{_BANDS} + {_KEOGH.replace('range(1, len(a) + 1)', 'range(6, 60)')}"
+_SWAPPED = f"k AS (SELECT id_a, id_b, {_ENHANCED} AS x FROM p UNION ALL SELECT id_a, id_b, {_ENHANCED} AS x FROM (SELECT id_a, id_b, b AS a, a AS b FROM p))"
+_BOUND_SQL = {"lb_enhanced": f"WITH {_PAIRS} SELECT id_a, id_b, round({_ENHANCED}, 6) AS d FROM p", "lb_enhanced2j": f"WITH {_PAIRS}, {_SWAPPED} SELECT id_a, id_b, round(max(x), 6) AS d FROM k GROUP BY ALL"}
 for _name in ("lb_enhanced", "lb_enhanced2j", "lb_webb"):
-    _add(_name, lambda s, d, k=_name: N.consecutive_pairs(D.embedding_series(s, d)).select("id_a", "id_b", _r(N.distance(k, F.col("a"), F.col("b"), window=5)).alias("d")))
+    _add(_name, lambda s, d, k=_name: N.consecutive_pairs(D.embedding_series(s, d)).select("id_a", "id_b", _r(N.distance(k, F.col("a"), F.col("b"), window=5)).alias("d")), _BOUND_SQL.get(_name))
 
 
 def _dtw_wr(spark: SparkSession, sf_dir: str) -> DataFrame:

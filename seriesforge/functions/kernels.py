@@ -273,23 +273,36 @@ def lb_enhanced2j(a, b, cfe=2.0, window=0, v=5):
 def lb_webb(a, b, cfe=2.0, window=0):
     """Keogh of a against b's envelope, plus what points of b outside a's envelope must add.
 
-    Where every point of a in reach of b's point lies within b's envelope (free), nothing was charged near it and the whole
-    distance to a's envelope is added.  Elsewhere only the part beyond the envelope of b's envelope is new: a point of a that
-    was charged up to b's envelope may align with b's point, so c(b, env) less c(reach of b's envelope, env) remains.
+    A point of b beyond a's envelope adds its whole distance if all of a in its reach is free on that side: within b's envelope, or
+    charged on the other side in a way that leaves this one alone.  Else it adds what exceeds the envelope of b's envelope.
+    One step per position, all pairs at once; a window longer than the series leaves Keogh alone.
     """
     a, b = np.asarray(a, float), np.asarray(b, float)
-    c = point_cost(cfe)
-    up_a, low_a = envelopes(a, window)
-    up_b, low_b = envelopes(b, window)
-    charged = _outside(a, up_b, low_b, c)
-    free = envelopes(((a <= up_b) & (a >= low_b)).astype(float), window)[1] > 0
-    low_up_b, up_low_b = envelopes(up_b, window)[1], envelopes(low_b, window)[0]
-    over = np.where(free, c(b, up_a), 0.0)
-    under = np.where(free, c(b, low_a), 0.0)
-    if cfe >= 1:  # convex costs: c(x, z) >= c(x, y) + c(y, z) for y between
-        over = np.where(~free & (low_up_b > up_a) & (b > low_up_b), c(b, up_a) - c(low_up_b, up_a), over)
-        under = np.where(~free & (up_low_b < low_a) & (b < up_low_b), c(b, low_a) - c(up_low_b, low_a), under)
-    return charged.sum(axis=1) + np.where(b > up_a, over, 0.0).sum(axis=1) + np.where(b < low_a, under, 0.0).sum(axis=1)
+    c, n, w = point_cost(cfe), a.shape[1], window
+    up_a, low_a = envelopes(a, w)
+    up_b, low_b = envelopes(b, w)
+    total = _outside(a, up_b, low_b, c).sum(axis=1)
+    if w > n:
+        return total
+    high, low = a > up_b, a < low_b
+    low &= ~high
+    inside = ~high & ~low
+    spared = {"below": high & (up_b >= envelopes(low_a, w)[0]), "above": low & (low_b <= envelopes(up_a, w)[1])}
+    reset = {"below": high & ~spared["below"], "above": low & ~spared["above"]}
+    run = {side: np.full(len(a), w) for side in spared}
+    beyond = {"above": (b > up_a, up_a, envelopes(low_b, w)[0]), "below": (b < low_a, low_a, envelopes(up_b, w)[1])}
+    for i in range(n + w):
+        if i < n:
+            for side in run:
+                run[side] = np.where(reset[side][:, i], 0, run[side] + (inside[:, i] | spared[side][:, i]))
+        if (j := i - w) < 0:
+            continue
+        for side, (out, edge, inner) in beyond.items():
+            free = run[side] > 2 * w if i < n else run[side] >= n + w - j
+            x, e, z = b[:, j], edge[:, j], inner[:, j]
+            partly = (x > z) & (z >= e) if side == "above" else (x < z) & (z <= e)
+            total += np.where(out[:, j], np.where(free, c(x, e), np.where(partly, c(x, e) - c(z, e), 0.0)), 0.0)
+    return total
 
 
 def with_cutoff(d: np.ndarray, cutoff: float) -> np.ndarray:

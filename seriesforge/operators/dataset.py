@@ -33,7 +33,7 @@ def points(series: DataFrame, values: str = "values", *keep: str) -> DataFrame:
 
 
 def with_transform(series: DataFrame, name: str, fn, source: str = "values") -> DataFrame:
-    """One more column of transformed series; names chain with ';' from `default`."""
+    """One more column of transformed series; its name is the caller's."""
     return series.withColumn(name, fn(F.col(source)))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 
@@ -11,7 +12,7 @@ PLUS_EXPONENTS = [1, 1.5, 0.666666, 2, 0.5]
 AMERCED_EXPONENTS = [1, 2, 0.5]
 TWE_NU = [1e-5, 1e-4, 5e-4, 1e-3, 5e-3, 0.01, 0.05, 0.1, 0.5, 1]
 TWE_LAMBDA = [i * 0.1 / 9 for i in range(10)]
-MSM_COSTS = [0.01] + [10.0 ** d * (0.01 + 0.09 * i / 24) for d in (0,) for i in range(1, 25)] + [10.0 ** d * (0.1 + 0.9 * i / 25) for d in (0, 1, 2) for i in range(1, 26)]
+MSM_COSTS = [float(x) for lo, hi, n in ((0.01, 0.1, 25), (0.1, 1, 26), (1, 10, 26), (10, 100, 26)) for x in np.linspace(lo, hi, n)[lo > 0.01:]]
 
 
 def cdtw_grid(length: int, n: int = 100, exponents=(2.0,)) -> list[dict]:
@@ -48,13 +49,9 @@ _FAMILY = {"ED": ("directa", {}), "Minkowski": ("directa", {}), "CDTW": ("dtw",
 
 
 def by_name(name: str) -> dict:
-    """`[d1-|d2-|d3-]FAMILY[-0.5|-1.0]1NN` -> transform, distance, fixed parameters; unknown names raise."""
-    rest = name.removesuffix("1NN")
-    transform = "default"
-    if rest[:3] in ("d1-", "d2-", "d3-"):
-        transform, rest = ("derivative1", "derivative2", "difference1")[int(rest[1]) - 1], rest[3:]
-    family, _, exponent = rest.partition("-")
-    if family not in _FAMILY or not name.endswith("1NN"):
+    """`[dN-]FAMILY1NN[-EXPONENT]` -> transform (default, or the N-th derivative), distance, fixed parameters; unknown names raise."""
+    found = re.match(r"(?:d([123])-)?([A-Za-z]+\+?)1NN(?:-([0-9.]+))?\Z", name)
+    if not found or found[2] not in _FAMILY:
         raise ValueError(f"unknown classifier {name!r}")
-    distance, params = _FAMILY[family]
-    return {"transform": transform, "distance": distance, "params": params | ({"cfe": float(exponent)} if exponent else {}), "family": family}
+    distance, params = _FAMILY[found[2]]
+    return {"transform": f"derivative{found[1]}" if found[1] else "default", "distance": distance, "params": params | ({"cfe": float(found[3])} if found[3] else {}), "family": found[2]}

@@ -83,3 +83,39 @@ def test_hydra():
     assert np.allclose(h.transform(x, by_group=True).reshape(7, -1), f) and np.allclose(f[3:4], h.transform(x[3:4]))
     assert f.sum() == 7 * len(h.dilations) * 4 * 2 * (64 + 63)  # one largest and one smallest answer for each group and step
     assert np.isfinite(SparseScaler().fit(f).transform(f)).all()
+
+
+def _webb(a, b, w):
+    """One pair, point by point: positions free above and below are counted in runs that other positions end."""
+    n, sq = len(a), lambda x, y: (x - y) ** 2
+    reach = lambda x, i: x[max(0, i - w):i + w + 1]
+    env = lambda x, f: [f(reach(x, i)) for i in range(n)]
+    ua, la, ub, lb = env(a, max), env(a, min), env(b, max), env(b, min)
+    total, above, below, runs = 0.0, w, w, []
+    for i in range(n):
+        if a[i] > ub[i]:
+            total += sq(a[i], ub[i])
+            below = below + 1 if ub[i] >= max(reach(la, i)) else 0
+        elif a[i] < lb[i]:
+            total += sq(a[i], lb[i])
+            above = above + 1 if lb[i] <= min(reach(ua, i)) else 0
+        else:
+            above, below = above + 1, below + 1
+        runs.append((above, below))
+    for j in range(n):
+        whole = [r > 2 * w for r in runs[j + w]] if j + w < n else [j >= n - r + w for r in runs[-1]]
+        for side, edge, inner, beyond in ((0, ua[j], max(reach(lb, j)), b[j] > ua[j]), (1, la[j], min(reach(ub, j)), b[j] < la[j])):
+            between = b[j] > inner >= edge if side == 0 else b[j] < inner <= edge
+            if beyond:
+                total += sq(b[j], edge) if whole[side] else sq(b[j], edge) - sq(inner, edge) if between else 0.0
+    return total
+
+
+def test_webb_against_a_plain_loop():
+    rng = np.random.default_rng(11)
+    for w in (0, 1, 4, 12, 30):
+        a, b = rng.normal(size=(2, 100, 30)).cumsum(axis=2) if w % 2 else rng.normal(size=(2, 100, 30))
+        got = K.lb_webb(a, b, 2.0, w)
+        assert np.allclose(got, [_webb(list(x), list(y), w) for x, y in zip(a, b)])
+        assert (got <= K.dtw(a, b, 2.0, window=w) + 1e-9).all()
+        assert w in (0, 30) or (got > K.lb_keogh(a, b, 2.0, w) + 1e-9).any()

@@ -79,9 +79,11 @@ def test_dataset(spark):
 
 def test_grids():
     assert len(grids.MSM_COSTS) == 100 and abs(grids.MSM_COSTS[-1] - 100) < 1e-9 and len(grids.TWE_LAMBDA) == 10 and len(grids.cdtw_grid(50)) == 100 and len(grids.lcss_grid(50, 1.0)) == 100
-    assert grids.by_name("d1-CDTW-0.51NN") == {"transform": "derivative1", "distance": "dtw", "params": {"cfe": 0.5}, "family": "CDTW"}
+    assert grids.by_name("d1-CDTW1NN-0.5") == {"transform": "derivative1", "distance": "dtw", "params": {"cfe": 0.5}, "family": "CDTW"}
     with pytest.raises(ValueError):
         grids.by_name("DTW9")
+    assert grids.by_name("d3-Minkowski1NN-1.0")["transform"] == "derivative3" and grids.by_name("ADTW+1NN")["family"] == "ADTW+"
+    assert len(grids.MSM_COSTS) == 100 and abs(grids.MSM_COSTS[0] - 0.01) < 1e-12 and abs(grids.MSM_COSTS[24] - 0.1) < 1e-12 and abs(grids.MSM_COSTS[1] - 0.01375) < 1e-12 and abs(grids.MSM_COSTS[-1] - 100) < 1e-9
 
 
 def waves(spark, n, seed):
