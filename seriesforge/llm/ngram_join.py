@@ -14,7 +14,10 @@ Slots without elements would be shared by unrelated sets.  A set with empty slot
 m + 1 good parts one has none.  A set with more joins each empty slot with every signature of a second, independent partition of
 its elements (and so on, DEPTH deep): linked sets share one there too.  So nothing is lost and no bucket is a constant.
 
-Equal sets form one class (node); only nodes are compared.  A signature is live if two nodes have it; once the
+Equal sets form one class (node); only nodes are compared.  Below 90 percent, where a shingle gives a signature or more, sets
+that cannot link get none: a linked set lacks at most (100 - percent) percent of its shingles in its partner, so of those of
+its shingles that lie in a fixed range of the hash domain all but that many are found in some other node, which has the same
+range counted.  A set with fewer is linked with nothing; the others go on, whatever they share.  A signature is live if two nodes have it; once the
 live ones are counted, a bit filter lets few others pass to the second shuffle.  First each bucket compares its
 members to its least node only (linear), links are verified by exact intersection and components taken; then buckets that
 still span several components compare their cross-component pairs, after a 512-bit parity sketch (its Hamming distance
@@ -49,9 +52,12 @@ BAND_RATIO = 1.3
 #: Pieces of a part: two (fewer signatures) where each then holds this many elements or more, else three.
 FULL_PIECE = 8
 DEPTH = 4
-#: A shingle gives some 0.2 signatures at 90 percent, 1.2 at 80: they are made and counted, and pairs verified, in this many parts, one
-#: after the other, so that each part's files are gone before the next.
-PASSES = {90: 1, 80: 4}
+#: A shingle gives some 0.2 signatures at 90 percent, 1.2 at 80.  Below this percentage sets are screened first ...
+SCREENED_BELOW = 90
+#: ... over a range that holds this many times the share of shingles that a linked set may lack (0.35 of all at 80 percent).
+SCREEN = 1.75
+#: Pairs are verified in this many parts, one after the other, so that each part's files are gone before the next.
+PARTS = 2
 SKETCH_WORDS = 8
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -200,22 +206,35 @@ def _nodes(sets: list[np.ndarray]) -> pa.Array:
     return pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())
 
 
-def _features(docs: DataFrame, n: int, percent: int, passes: int, at: int) -> DataFrame:
-    """(doc_id, n, node, sk, sigs) of every row, with those signatures that are `at` modulo `passes`."""
-    def some(s: np.ndarray) -> np.ndarray:
-        made = signatures(s, percent)
-        return made[made % np.uint64(passes) == at] if passes > 1 else made
+def _sample(s: np.ndarray, percent: int) -> np.ndarray:
+    """Those of a sorted set that lie in the range of the hash domain over which sets are screened."""
+    share = min(1.0, SCREEN * (100 - percent) / 100)
+    return s[:np.searchsorted(s, np.uint64(min(int(share * 2.0 ** 64), 2 ** 64 - 1)), "right")]
 
+
+def _features(docs: DataFrame, n: int, made: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(doc_id, n, node, sk, sigs) of every row, where sigs is what `made` takes from its set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _in_parts(batches, n):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), _nodes(sets), _lists([sketch(s) if len(s) else s for s in sets]),
-                                              _lists([some(s) for s in sets])], names=["doc_id", "n", "node", "sk", "sigs"])
+                                              _lists([made(s) for s in sets])], names=["doc_id", "n", "node", "sk", "sigs"])
 
     longs = ArrayType(LongType())
     schema = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), StructField("n", LongType()), StructField("node", LongType()), StructField("sk", longs), StructField("sigs", longs)])
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def _signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(node, sigs) of every row with a set."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sets in _in_parts(batches, n):
+            sets = [s for s in sets if len(s)]
+            if sets:
+                yield pa.RecordBatch.from_arrays([_nodes(sets), _lists([signatures(s, percent) for s in sets])], names=["node", "sigs"])
+
+    return docs.select("text").mapInArrow(run, "node long, sigs array<long>")
+
+
 def _items(docs: DataFrame, n: int) -> DataFrame:
     """(node, items) of every row with a set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,16 +262,16 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _verified(spark: SparkSession, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent: int, passes: int) -> list[DataFrame]:
-    """Those of pairs(a, b) whose sets really link, by exact intersection, in `passes` parts one after the other; written."""
+def _verified(spark: SparkSession, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent: int) -> list[DataFrame]:
+    """Those of pairs(a, b) whose sets really link, by exact intersection, in PARTS parts one after the other; written."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "root"), "node")
     roots = keep(spark, ends.select(F.col("root").alias("root__"), F.xxhash64("root").alias("key__")).distinct(), "join-roots")
     pages, among = possible(spark, roots, "key__")
     texts = among(docs.withColumn("key__", F.xxhash64("doc_id")), "key__").join(sized(roots.select("root__")), F.col("doc_id").eqNullSafe(F.col("root__")), "left_semi").select("text")
     sets = keep(spark, _items(texts, n).dropDuplicates(["node"]), "join-sets")
     parts = []
-    for at in range(passes):
-        left = pairs.where(F.pmod("a", F.lit(passes)) == at).join(sets.select(F.col("node").alias("a"), F.col("items").alias("ia")), "a")
+    for at in range(PARTS):
+        left = pairs.where(F.pmod("a", F.lit(PARTS)) == at).join(sets.select(F.col("node").alias("a"), F.col("items").alias("ia")), "a")
         both = left.join(sets.select(F.col("node").alias("b"), F.col("items").alias("ib")), "b")
         shared = both.select("a", "b", F.size(F.array_intersect("ia", "ib")).alias("i"), (F.size("ia") + F.size("ib")).alias("t"))
         parts.append(keep(spark, shared.where(100 * F.col("i") >= percent * (F.col("t") - F.col("i"))).select("a", "b"), "join-links"))
@@ -267,11 +286,16 @@ def _copies(spark: SparkSession, ids: DataFrame, nodes: DataFrame) -> DataFrame:
     return keep(spark, copies.select("copy__", F.xxhash64("copy__").alias("key__")), "join-copies")
 
 
-def _shared(spark: SparkSession, feats: DataFrame, copies: DataFrame, maybe: Callable[..., DataFrame]) -> DataFrame:
-    """(sig, node) of the signatures that several nodes have; written.  Of the rows only those that may be copies are shuffled to leave copies out."""
+def _originals(feats: DataFrame, copies: DataFrame, maybe: Callable[..., DataFrame]) -> DataFrame:
+    """(node, sigs) of feats without the copies; only rows that may be copies are shuffled for it."""
     marked = maybe(feats.where("node IS NOT NULL").select("doc_id", "node", "sigs", F.xxhash64("doc_id").alias("key__")), "key__", True)
     checked = marked.where("passed__").join(sized(copies.select("copy__")), F.col("doc_id").eqNullSafe(F.col("copy__")), "left_anti")
-    rows = marked.where("NOT passed__").select("node", "sigs").unionAll(checked.select("node", "sigs")).select("node", F.explode("sigs").alias("sig"))
+    return marked.where("NOT passed__").select("node", "sigs").unionAll(checked.select("node", "sigs"))
+
+
+def _shared(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """(sig, node) of the signatures in rows(node, sigs) that several rows have; written."""
+    rows = rows.select("node", F.explode("sigs").alias("sig"))
     live = keep(spark, rows.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("sig"), "join-live")
     pages, among = possible(spark, live, "sig")
     shared = keep(spark, among(rows, "sig").join(live, "sig", "left_semi").select("sig", "node"), "join-shared")
@@ -279,6 +303,23 @@ def _shared(spark: SparkSession, feats: DataFrame, copies: DataFrame, maybe: Cal
     return shared
 
 
+def _linkable(spark: SparkSession, docs: DataFrame, nodes: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """(node, sigs) with the signatures of the nodes that rows(node, sigs), their samples, let link with another; written.
+
+    nodes has the size of each sample as `p`.  A few more sets may come along (hash bits decide which documents are read): that costs work, no link.
+    """
+    met = _shared(spark, rows)
+    found = met.groupBy("node").agg(F.count(F.lit(1)).alias("met"))
+    least = F.col("p") - F.expr(f"n * {100 - percent} div 100")
+    some = nodes.join(found, "node", "left").where(F.coalesce("met", F.lit(0)) >= least)
+    keys = keep(spark, some.select(F.xxhash64("root").alias("key__")).distinct(), "join-linkable")
+    drop(met)
+    pages, among = possible(spark, keys, "key__")
+    signed = keep(spark, _signed(among(docs.withColumn("key__", F.xxhash64("doc_id")), "key__"), n, percent), "join-signed")
+    drop(keys, pages)
+    return signed
+
+
 def _near(x: str, y: str, percent: int):
     """Sizes and sketches of both sides allow a link."""
     bits = F.aggregate(F.zip_with(f"{x}.sk", f"{y}.sk", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, b: s + b)
@@ -288,26 +329,28 @@ def _near(x: str, y: str, percent: int):
 def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs(doc_id, text, ...)."""
     docs = docs.select("doc_id", "text")
-    passes = PASSES.get(percent, 1 if percent > 90 else 4)
-    feats = keep(spark, _features(docs, n, percent, passes, 0), "join-feats")
+    screened = percent < SCREENED_BELOW
+    feats = keep(spark, _features(docs, n, (lambda s: _sample(s, percent)) if screened else (lambda s: signatures(s, percent))), "join-feats")
     ids = keep(spark, feats.select("doc_id", "n", "node"), "join-ids")
-    nodes = keep(spark, feats.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("root"), F.first("n").alias("n"), F.first("sk").alias("sk")), "join-nodes")
+    one = [F.min("doc_id").alias("root"), F.first("n").alias("n"), F.first("sk").alias("sk"), F.first(F.size("sigs")).alias("p")]
+    nodes = keep(spark, feats.where("node IS NOT NULL").groupBy("node").agg(*one), "join-nodes")
     copies = _copies(spark, ids, nodes)
     pages, maybe = possible(spark, copies, "key__")
-    parts = []
-    for at in range(passes):
-        feats = keep(spark, _features(docs, n, percent, passes, at), "join-feats") if at else feats
-        parts.append(_shared(spark, feats, copies, maybe))
+    rows = _originals(feats, copies, maybe)
+    if screened:
+        rows = _linkable(spark, docs, nodes, rows, n, percent)
         drop(feats)
-    seen = reduce(DataFrame.unionAll, parts)
+        feats = rows
+    seen = _shared(spark, rows)
+    drop(feats)
     least = seen.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("sig", "lo")
     members = keep(spark, seen.join(least, "sig").select("sig", "lo", "node"), "join-members")
-    drop(copies, pages, *parts)
+    drop(copies, pages, seen)
     stars = members.where("node <> lo").select("lo", "node").distinct()
     info = lambda name: nodes.select(F.col("node").alias(name), "n", "sk").alias(name)
     first = stars.join(info("a"), F.col("lo") == F.col("a.a")).join(info("b"), F.col("node") == F.col("b.b")).where(_near("a", "b", percent)).select(F.col("a.a"), F.col("b.b"))
     first = keep(spark, first, "join-first")
-    links = _verified(spark, docs, nodes, first, n, percent, passes)
+    links = _verified(spark, docs, nodes, first, n, percent)
     comp = components(spark, reduce(DataFrame.unionAll, links))
 
     part = keep(spark, members.select("sig", "node").join(comp, "node", "left").select("sig", "node", F.coalesce("comp", "node").alias("comp")), "join-part")
@@ -317,7 +360,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = N, percent
     cross = side.alias("x").join(side.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & _near("x", "y", percent))
     second = keep(spark, cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "join-second")
     drop(part, side)
-    links += _verified(spark, docs, nodes, second, n, percent, passes)
+    links += _verified(spark, docs, nodes, second, n, percent)
     comp = components(spark, reduce(DataFrame.unionAll, links))
 
     rooted = keep(spark, nodes.select("node", "root").join(comp, "node", "left").select("node", "root", F.coalesce("comp", "node").alias("comp")), "join-rooted")

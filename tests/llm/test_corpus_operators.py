@@ -130,6 +130,23 @@ def test_unrelated_sets_share_no_signature_and_linked_ones_do(percent):
     assert linked > 300
 
 
+def test_screen_keeps_every_linked_set():
+    import numpy as np
+    rng = np.random.default_rng(6)
+    random_set = lambda size: np.unique(rng.integers(0, 1 << 64, size, dtype=np.uint64))
+    linked = 0
+    for _ in range(1500):
+        s = random_set(int(rng.integers(1, 300)))
+        gone, new = rng.integers(0, len(s) // 7 + 1, 2)
+        a, b = np.sort(s[rng.permutation(len(s))[gone:]]), np.unique(np.concatenate([s, random_set(int(new))]))
+        if 100 * len(a) >= 80 * len(b):  # a lies in b: their Jaccard similarity
+            linked += 1
+            pa, pb = ngram_join._sample(a, 80), ngram_join._sample(b, 80)
+            shared = len(np.intersect1d(pa, pb))
+            assert shared >= len(pa) - len(a) * 20 // 100 and shared >= len(pb) - len(b) * 20 // 100
+    assert linked > 500
+
+
 def test_quality_and_mixing_edges(spark):
     got = {r["doc_id"]: r for r in quality_rules.judge(spark, docs(spark, [None, "a b c a b c x", "# $\n# $\n \n", LONG])).collect()}
     assert (got[1]["n_repeat_words"], got[2]["n_symbols"], got[2]["n_dup_lines"], got[3]["base_failed"]) == (6, 4, 1, True)
