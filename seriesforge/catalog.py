@@ -16,6 +16,7 @@ from .functions.hydra import Hydra, SparseScaler, merged, moments
 from .operators import dataset as D
 from .operators import forest
 from .operators import neighbours as N
+from .operators import suite
 from .plans import grids
 from .sources import files
 from .sources.scratch import new_folder
@@ -214,6 +215,54 @@ _add("nn1_cdtw", lambda s, d: N.nearest_pruned(D.embedding_series(s, d), D.embed
 _add("loocv_cdtw", lambda s, d: N.loocv(D.embedding_series(s, d), "dtw", [{"window": w} for w in (0, 2, 4)], D.stratified_sample(D.embedding_series(s, d), 0.1, 1)))
 
 
+
+def _ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest of rounded series, among which many are equally near."""
+    series = D.embedding_series(spark, sf_dir).withColumn("values", F.transform(F.slice("values", 1, 3), lambda x: F.floor(x * 4).cast("double")))
+    return N.nearest_counts(series, series, exclude_self=True).select("series_id", "label", "nn_label", "n", _r("nn_dist").alias("nn_dist"))
+
+
+_add("nn1_ties", _ties, f"""WITH {_SERIES}, r AS (SELECT series_id, label, list_transform(v[1:3], lambda x: floor(x * 4)) AS v FROM s),
+d AS (SELECT x.series_id, x.label, y.label AS nn_label, {_SUM.format('list_transform(list_zip(x.v, y.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))')} AS dist FROM r x JOIN r y ON x.series_id <> y.series_id),
+m AS (SELECT series_id, min(dist) AS least FROM d GROUP BY series_id)
+SELECT d.series_id, d.label, nn_label, count(*) AS n, round(least, 6) AS nn_dist FROM d JOIN m ON d.series_id = m.series_id AND dist = least GROUP BY d.series_id, d.label, nn_label, least""")
+_add("direct_cost_sample", lambda s, d: suite.direct_cost(D.embedding_series(s, d), [0.5, 1, 2], seed=42).select("cfe", _r("mean_cost").alias("mean_cost")),
+     f"""WITH {_SERIES}, k AS (SELECT row_number() OVER (ORDER BY series_id) - 1 AS k, v FROM s),
+z AS (SELECT count(*) AS n FROM s), u AS (SELECT n, CAST('0x' || substr(md5('42:x:' || i), 1, 8) AS BIGINT) % n AS x, CAST('0x' || substr(md5('42:y:' || i), 1, 8) AS BIGINT) % (n - 1) AS h FROM range({suite.PAIRS}) t(i), z),
+w AS (SELECT x, (x + 1 + h) % n AS y FROM u),
+p AS (SELECT ka.v AS a, kb.v AS b FROM w JOIN k ka ON ka.k = w.x JOIN k kb ON kb.k = w.y)
+SELECT 0.5::DOUBLE AS cfe, round(avg({_zip_sum('sqrt(abs(#a - #b))')}), 6) AS mean_cost FROM p UNION ALL SELECT 1, round(avg({_zip_sum('abs(#a - #b)')}), 6) FROM p UNION ALL SELECT 2, round(avg({_zip_sum('(#a - #b) * (#a - #b)')}), 6) FROM p""")
+
+
+def _suite(name: str) -> Query:
+    """Even ids train, odd ids test: the chosen parameter set, and how test does with it."""
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        series = D.embedding_series(spark, sf_dir)
+        best, _, found = suite.search(series.where("series_id % 2 = 0"), series.where("series_id % 2 = 1"), name)
+        return N.accuracy(found).select(F.lit(best).cast("long").alias("param"), "n", "n_correct", _r("accuracy").alias("accuracy"))
+    return query
+
+
+def _suite_sql(exponents: list[float], derive: bool = False) -> str:
+    """Search over exponents of the direct distance, then the test half; ties by the class counts."""
+    rows = " UNION ALL ".join(f"SELECT {p} AS param, {e}::DOUBLE AS e" for p, e in enumerate(exponents))
+    start = _SERIES.replace("s AS", "s0 AS", 1) + f", s AS (SELECT series_id, label, {_derive_sql('v')} AS v FROM s0)" if derive else _SERIES
+    dist = _SUM.format("list_transform(list_zip(x.v, y.v), lambda z: pow(abs(z[1] - z[2]), e))")
+    return f"""WITH {start}, g AS ({rows}),
+d AS (SELECT param, x.series_id, x.label, y.series_id AS nn_id, y.label AS nn_label, {dist} AS dist FROM s x JOIN s y ON x.series_id <> y.series_id AND x.series_id % 2 = 0 AND y.series_id % 2 = 0 CROSS JOIN g),
+f AS (SELECT param, series_id, any_value(label) AS label, arg_min(nn_label, struct_pack(d := dist, i := nn_id)) AS nn_label FROM d GROUP BY param, series_id),
+b AS (SELECT param FROM f GROUP BY param ORDER BY sum((label <> nn_label)::INT), param LIMIT 1),
+t AS (SELECT param, x.series_id, x.label, y.label AS nn_label, {dist} AS dist FROM s x JOIN s y ON x.series_id % 2 = 1 AND y.series_id % 2 = 0 CROSS JOIN (SELECT param, e FROM g JOIN b USING (param))),
+c AS (SELECT param, series_id, label, nn_label, count(*) AS n FROM t WHERE dist = (SELECT min(dist) FROM t u WHERE u.series_id = t.series_id) GROUP BY ALL),
+v AS (SELECT param, series_id, label, arg_min(nn_label, struct_pack(m := -n, l := nn_label)) AS nn_label FROM c GROUP BY ALL)
+SELECT any_value(param)::BIGINT AS param, count(*) AS n, CAST(sum((label = nn_label)::INT) AS BIGINT) AS n_correct, round(avg((label = nn_label)::INT), 6) AS accuracy FROM v"""
+
+
+_add("suite_ed", _suite("ED1NN"), _suite_sql([2.0]))
+_add("suite_minkowski", _suite("Minkowski1NN"), _suite_sql(grids.PLUS_EXPONENTS))
+_add("suite_d1_minkowski", _suite("d1-Minkowski1NN-1.0"), _suite_sql([1.0], derive=True))
+
+
 def _profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per class: size, statistics over all points, direct costs of consecutive series by exponent."""
     series = D.embedding_series(spark, sf_dir)

@@ -136,7 +136,7 @@ class _Grower:
         return {"p": p.tolist(), "weight": float(weight), "size": len(rows)}
 
     def grow(self, rows: np.ndarray, depth: int = 0, label: int | None = None) -> dict:
-        if len(np.unique(self.y[rows])) <= 1 or depth >= self.o["max_depth"] or len(rows) <= self.o["min_size"]:
+        if len(np.unique(self.y[rows])) <= 1 or depth >= self.o["max_depth"] or len(rows) <= self.o["min_size"] or gini(self.y[rows]) <= self.o["min_gini"]:
             return self.leaf(rows, label)
         if self.o["try_all"]:
             tries = [self.split(rows, spec) for spec in self.names]
@@ -146,6 +146,8 @@ class _Grower:
         else:
             tries = [self.split(rows) for _ in range(self.o["candidates"])]
             _, node, branch = min(tries, key=lambda s: s[0])  # the first of the least
+        if self.o["stop_on_empty"] and len(np.unique(branch)) < len(node["labels"]):
+            return self.leaf(rows, label)
         return node | {"branches": [self.grow(rows[branch == b], depth + 1, c) for b, c in enumerate(node["labels"])]}
 
 
@@ -184,10 +186,13 @@ def walk(tree: dict, x: dict[str, np.ndarray], rows: np.ndarray, out: np.ndarray
 
 
 def fit(train: DataFrame, codes: DataFrame, n_trees: int = 10, candidates: int = 5, splitters: str = "pf2", seed: int = 0, max_depth: int = 64, min_size: int = 1,
-        smooth: bool = False, sample: float = 1.0, adtw_pairs: int = 4000, try_all: bool = False, hydra_groups: int = 64) -> DataFrame:
+        smooth: bool = False, sample: float = 1.0, adtw_pairs: int = 4000, try_all: bool = False, hydra_groups: int = 64,
+        min_gini: float = 0.0, stop_on_empty: bool = False) -> DataFrame:
     """(tree, model json, nodes, depth).  codes(label, code) from encode_labels; sample: share of each class that a tree sees, rounded up;
-    try_all: a node tries every splitter once and picks at random among the best, else `candidates` random ones."""
-    options = {"candidates": candidates, "splitters": splitters, "max_depth": max_depth, "min_size": min_size, "smooth": smooth, "adtw_pairs": adtw_pairs, "try_all": try_all, "hydra_groups": hydra_groups}
+    try_all: a node tries every splitter once and picks at random among the best, else `candidates` random ones; min_gini: nodes
+    up to this impurity are leaves; stop_on_empty: so is a node with a branch that no series takes."""
+    options = {"candidates": candidates, "splitters": splitters, "max_depth": max_depth, "min_size": min_size, "smooth": smooth, "adtw_pairs": adtw_pairs, "try_all": try_all, "hydra_groups": hydra_groups,
+               "min_gini": min_gini, "stop_on_empty": stop_on_empty}
     k = codes.count()
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -230,6 +235,17 @@ def _classes(tree: dict) -> int:
     return len(tree["p"]) if "p" in tree else _classes(tree["branches"][0])
 
 
-def predict(model: DataFrame, test: DataFrame) -> DataFrame:
-    """(series_id, probabilities, predicted code); the least code on ties."""
-    return weighted_average(votes(model, test)).withColumn("predicted", (F.array_position("probabilities", F.array_max("probabilities")) - 1).cast("int"))
+def predict(model: DataFrame, test: DataFrame, vote: str = "average") -> DataFrame:
+    """(series_id, probabilities, predicted code); the least code on ties.
+
+    vote: `average` of the leaves' probabilities by weight, or `majority`, where each tree has one vote for its most probable
+    class (the least code on ties) and probabilities are shares of votes.
+    """
+    found = votes(model, test)
+    if vote == "majority":
+        top = F.array_position("probabilities", F.array_max("probabilities")) - 1
+        one = F.transform("probabilities", lambda _p, i: (i == top).cast("double"))
+        found = found.select("series_id", "tree", one.alias("probabilities"), F.lit(1.0).alias("weight"))
+    elif vote != "average":
+        raise ValueError(f"unknown vote {vote!r}")
+    return weighted_average(found).withColumn("predicted", (F.array_position("probabilities", F.array_max("probabilities")) - 1).cast("int"))

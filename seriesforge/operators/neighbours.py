@@ -1,18 +1,18 @@
 """Pair distances, 1-NN search and leave-one-out parameter search.
 
-All pairs of two tables are a block nested loop: both sides are packed into blocks of at most BLOCK series, every
+All pairs of two tables are a block nested loop: both sides are packed into hash blocks of BLOCK series on average, every
 block pair is one row, a numpy kernel fills the distances of the block pair and keeps the nearest per query and
-parameter only, and a map-side-combined min over structs merges them.  Neither side is collected or broadcast.
+parameter only, and a map-side-combined min over structs merges them.  Neither side is collected.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
@@ -50,34 +50,101 @@ def _blocks(series: DataFrame, prefix: str) -> DataFrame:
     return packed.groupBy(f"{prefix}_block").agg(F.collect_list("s").alias(prefix))
 
 
+def _direct(q: np.ndarray, t: np.ndarray, skip: np.ndarray) -> np.ndarray | None:
+    """Squared distances by one matrix product; those that may be a query's least are computed anew point by point, the others
+    are infinite.  None if the product is not finite."""
+    qq, tt = (q * q).sum(axis=1)[:, None], (t * t).sum(axis=1)[None, :]
+    d = qq + tt - 2 * (q @ t.T)
+    if not np.isfinite(d).all():
+        return None
+    d[skip] = np.inf
+    row, col = np.nonzero(d <= d.min(axis=1, keepdims=True) + 1e-9 * (qq + tt))
+    out = np.full(d.shape, np.inf)
+    out[row, col] = K.directa(q[row], t[col])
+    return out
+
+
+def _matrix(block: list) -> np.ndarray | None:
+    """Values of a block; None if lengths differ."""
+    return np.array([s["values"] for s in block], float).reshape(len(block), -1) if len({len(s["values"]) for s in block}) == 1 else None
+
+
+def _between(q: list, t: list, name: str, params: dict, exclude_self: bool) -> Iterator[tuple[list, np.ndarray]]:
+    """Slices of q with their distances to all of t, NaN where a series meets itself.  What is not a least may be infinite."""
+    tid, tv, qv = np.array([s["series_id"] for s in t]), _matrix(t), _matrix(q)
+    even = qv is not None and tv is not None and qv.shape[1] == tv.shape[1]
+    squared = even and name == "directa" and params.get("cfe", 2.0) == 2.0
+    chunk = len(q) if squared else max(1, 4096 // len(t))
+    for lo in range(0, len(q), chunk):
+        part = q[lo:lo + chunk]
+        skip = np.array([s["series_id"] for s in part])[:, None] == tid[None, :] if exclude_self else np.zeros((len(part), len(t)), bool)
+        d = _direct(qv[lo:lo + chunk], tv, skip) if squared else None
+        if d is None and even:
+            d = K.DISTANCES[name](np.repeat(qv[lo:lo + chunk], len(t), axis=0), np.tile(tv, (len(part), 1)), **params).reshape(len(part), len(t))
+        elif d is None:
+            d = rows_distance(name, [s["values"] for s in part for _ in t], [s["values"] for s in t] * len(part), params).reshape(len(part), len(t))
+        d[skip] = np.nan
+        yield part, d
+
+
+def _block_pairs(queries: DataFrame, train: DataFrame) -> DataFrame:
+    return _blocks(queries, "q").join(_blocks(train, "t"), F.lit(True)).repartition("q_block", "t_block").select("q", "t")  # a block is one row
+
+
 def nearest(queries: DataFrame, train: DataFrame, name: str = "directa", grid: list[dict] | None = None, exclude_self: bool = False) -> DataFrame:
-    """(series_id, label, param, nn_dist, nn_id, nn_label): ties go to the least id.  grid: parameter sets, param is the index."""
+    """(series_id, label, param, nn_dist, nn_id, nn_label): ties go to the least id.  grid: parameter sets, param is the index;
+    sets that repeat are computed once."""
     grid = grid or [{}]
+    places = defaultdict(list)
+    for p, params in enumerate(grid):
+        places[tuple(sorted(params.items()))].append(p)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for q, t in zip(batch["q"], batch["t"]):
-                tid = np.array([s["series_id"] for s in t])
-                order = np.argsort(tid, kind="stable")
-                tid, tv, tl = tid[order], [t[i]["values"] for i in order], [t[i]["label"] for i in order]
-                chunk = max(1, 4096 // max(1, len(tv)))
-                for lo in range(0, len(q), chunk):
-                    part, out = q[lo:lo + chunk], []
-                    left, right = [s["values"] for s in part for _ in tv], tv * len(part)
-                    for p, params in enumerate(grid):
-                        d = rows_distance(name, left, right, params).reshape(len(part), len(tv))
+                t = sorted(t, key=lambda s: s["series_id"])
+                for params, at in places.items():
+                    out = []
+                    for part, d in _between(list(q), t, name, dict(params), exclude_self):
                         for s, row in zip(part, d):
-                            row = np.where(tid == s["series_id"], np.nan, row) if exclude_self else row
                             if not np.isnan(row).all():
                                 k = int(np.nanargmin(row))
-                                out.append((s["series_id"], s["label"], p, float(row[k]), int(tid[k]), tl[k]))
+                                out += [(s["series_id"], s["label"], p, float(row[k]), int(t[k]["series_id"]), t[k]["label"]) for p in at]
                     yield pd.DataFrame(out, columns=["series_id", "label", "param", "nn_dist", "nn_id", "nn_label"])
 
-    pairs = _blocks(queries, "q").join(_blocks(train, "t"), F.lit(True)).repartition("q_block", "t_block")  # a block is one row
-    best = pairs.select("q", "t").mapInPandas(run, "series_id long, label string, param int, nn_dist double, nn_id long, nn_label string")
+    best = _block_pairs(queries, train).mapInPandas(run, "series_id long, label string, param int, nn_dist double, nn_id long, nn_label string")
     return best.groupBy("series_id", "label", "param").agg(F.min(F.struct("nn_dist", "nn_id", "nn_label")).alias("n")).select("series_id", "label", "param", "n.*")
 
 
+def nearest_counts(queries: DataFrame, train: DataFrame, name: str = "directa", params: dict | None = None, exclude_self: bool = False) -> DataFrame:
+    """(series_id, label, nn_dist, nn_label, n): how many of the equally near series each class has.
+
+    A block pair sends the classes of its own nearest only; a query has at most one row for each class and block of train.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for q, t in zip(batch["q"], batch["t"]):
+                out = []
+                for part, d in _between(list(q), list(t), name, params or {}, exclude_self):
+                    for s, row in zip(part, d):
+                        if not np.isnan(row).all():
+                            least = np.nanmin(row)
+                            for label, n in Counter(t[k]["label"] for k in np.nonzero(row == least)[0]).items():
+                                out.append((s["series_id"], s["label"], float(least), label, n))
+                yield pd.DataFrame(out, columns=["series_id", "label", "nn_dist", "nn_label", "n"])
+
+    found = _block_pairs(queries, train).mapInPandas(run, "series_id long, label string, nn_dist double, nn_label string, n long")
+    counts = found.groupBy("series_id", "label", "nn_dist", "nn_label").agg(F.sum("n").alias("n"))
+    least = F.min("nn_dist").over(Window.partitionBy("series_id"))
+    return counts.withColumn("least", least).where("nn_dist = least").drop("least")
+
+
+def vote_of_ties(counts: DataFrame) -> DataFrame:
+    """(series_id, label, predicted, correct) from nearest_counts: the class with most, the least label on ties."""
+    most = counts.groupBy("series_id", "label").agg(F.min(F.struct((-F.col("n")).alias("m"), "nn_label")).alias("v"))
+    return most.select("series_id", "label", F.col("v.nn_label").alias("predicted"), F.col("v.nn_label").eqNullSafe(F.col("label")).alias("correct"))
+
+
 def nearest_pruned(queries: DataFrame, train: DataFrame, window: int, cfe: float = 2.0, exclude_self: bool = False, step: int = 8) -> DataFrame:
     """nearest() under banded DTW for equal lengths: lower bounds order each query's candidates, and rounds of full distances
     (the next `step` candidates of all open queries in one kernel call) end once no bound is below the best distance."""
@@ -110,8 +177,7 @@ def nearest_pruned(queries: DataFrame, train: DataFrame, window: int, cfe: float
                 yield pd.DataFrame({"series_id": qid[hit], "label": [q[i]["label"] for i in hit], "param": np.zeros(len(hit), int), "nn_dist": best[hit],
                                     "nn_id": tid[at[hit]], "nn_label": [t[at[i]]["label"] for i in hit]})
 
-    pairs = _blocks(queries, "q").join(_blocks(train, "t"), F.lit(True)).repartition("q_block", "t_block")
-    best = pairs.select("q", "t").mapInPandas(run, "series_id long, label string, param int, nn_dist double, nn_id long, nn_label string")
+    best = _block_pairs(queries, train).mapInPandas(run, "series_id long, label string, param int, nn_dist double, nn_id long, nn_label string")
     return best.groupBy("series_id", "label", "param").agg(F.min(F.struct("nn_dist", "nn_id", "nn_label")).alias("n")).select("series_id", "label", "param", "n.*")
 
 
