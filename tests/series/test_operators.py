@@ -170,6 +170,15 @@ def test_resample_reaches_the_test_half(spark):
     assert ids == set(range(0, 2000, 3)) and max(ids) >= 1000
 
 
+def test_numbers_of_a_table_too_large_to_sample_whole(spark):
+    """Each row has its own place in id order, whatever the partitions, with and without the other columns."""
+    n = 60_000
+    ids = spark.range(0, 7 * n, 7, 3).select(F.col("id").alias("series_id"), F.col("id").cast("string").alias("label"), F.array(F.col("id").cast("double")).alias("values"))
+    got = D.numbered(ids.repartition(5, F.xxhash64("series_id"))).select("series_id", "label").collect()
+    assert sorted(r["series_id"] for r in got) == list(range(n)) and all(int(r["label"]) == 7 * r["series_id"] for r in got)
+    assert D.numbered(ids.limit(0)).count() == 0 and [r["series_id"] for r in D.numbered(ids.limit(1)).collect()] == [0]
+
+
 def test_stream(spark, tmp_path):
     from seriesforge.streaming.scoring import score_stream
 
