@@ -179,6 +179,21 @@ def test_numbers_of_a_table_too_large_to_sample_whole(spark):
     assert D.numbered(ids.limit(0)).count() == 0 and [r["series_id"] for r in D.numbered(ids.limit(1)).collect()] == [0]
 
 
+@pytest.mark.parametrize("name", ["resample", "resample_whole"])
+def test_resample_of_a_large_table_against_sql(spark, oracle, tmp_path, name):
+    """So many series a partition that range partitions are sampled, and the first 400 positions are in two of them."""
+    from conftest import rows
+    from seriesforge import catalog
+    made = spark.range(0, 60_000, 1, 3).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("float")).alias("embedding"), F.pmod(F.xxhash64("id"), F.lit(1000)).cast("int").alias("label"))
+    made.write.parquet(str(tmp_path / "embeddings.parquet"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "80")
+    try:
+        assert rows(catalog.QUERIES[name](spark, str(tmp_path))) == oracle(catalog.ORACLES[name], str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_stream(spark, tmp_path):
     from seriesforge.streaming.scoring import score_stream
 
