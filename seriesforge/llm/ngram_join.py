@@ -19,10 +19,11 @@ that cannot link get none: a linked set lacks at most (100 - percent) percent of
 its shingles that lie in a fixed range of the hash domain all but that many are found in some other node, which has the same
 range counted.  A set with fewer is linked with nothing; the others go on, whatever they share.  A signature is live if two nodes have it; once the
 live ones are counted, a bit filter lets few others pass to the second shuffle.  First each bucket compares its
-members to its least node only (linear), links are verified by exact intersection and components taken; then buckets that
-still span several components compare their cross-component pairs, after a 512-bit parity sketch (its Hamming distance
-never exceeds the symmetric difference) has removed hopeless ones inside the join.  Nothing is gathered by bucket: hot
-buckets are joins that adaptive execution splits.
+members to its least node only (linear), links are verified by exact intersection and components taken; wide buckets that
+still span several components meet a few more of their members in the same way, as long as that links anything; then buckets
+that still do compare their cross-component pairs, each pair in few of the buckets that it shares, after a 512-bit parity
+sketch (its Hamming distance never exceeds the symmetric difference) has removed hopeless ones inside the join.  Nothing is
+gathered by bucket: hot buckets are joins that adaptive execution splits.
 
 Defined results: null or empty text has an empty set, is linked with nothing, and is its own component; rows that repeat a
 doc_id each get a row; a null doc_id never becomes a component's smallest id unless the component has no other; ids may have
@@ -39,7 +40,7 @@ from functools import cache, lru_cache, reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
@@ -58,6 +59,10 @@ SCREENED_BELOW = 90
 SCREEN = 1.75
 #: Pairs are verified in this many parts, one after the other, so that each part's files are gone before the next.
 PARTS = 2
+#: Buckets with more members than WIDE that span several components first meet STARS more of their members, one after the other.
+WIDE, STARS = 32, 3
+#: Signatures before a bucket's own, by which pairs that have met are told.
+LAST = 16
 SKETCH_WORDS = 8
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -326,6 +331,37 @@ def _near(x: str, y: str, percent: int):
     return (100 * F.least(f"{x}.n", f"{y}.n") >= percent * F.greatest(f"{x}.n", f"{y}.n")) & ((100 + percent) * bits <= (100 - percent) * (F.col(f"{x}.n") + F.col(f"{y}.n")))
 
 
+def _open(spark: SparkSession, members: DataFrame, nodes: DataFrame, comp: DataFrame) -> DataFrame:
+    """(node, sig, comp, n, sk) of the buckets that span several components; written."""
+    part = keep(spark, members.select("sig", "node").join(comp, "node", "left").select("sig", "node", F.coalesce("comp", "node").alias("comp")), "join-part")
+    open_ = part.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig")
+    side = keep(spark, part.join(open_, "sig").join(nodes.select("node", "n", "sk"), "node"), "join-side")
+    drop(part)
+    return side
+
+
+def _starred(spark: SparkSession, side: DataFrame, percent: int, seed: int) -> DataFrame | None:
+    """(a, b): each wide bucket's member with the least hash, and its members of other components; written.  None without wide buckets."""
+    centres = side.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), "node", "comp", "n", "sk")).alias("x"))
+    centres = keep(spark, centres.where(F.col("c") > WIDE).select("sig", "x.node", "x.comp", "x.n", "x.sk"), "join-centres")
+    pairs = None
+    if centres.limit(1).count():
+        met = sized(centres).alias("x").join(side.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.comp") != F.col("y.comp")) & _near("x", "y", percent))
+        pairs = keep(spark, met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "join-starred")
+    drop(centres)
+    return pairs
+
+
+def _crossing(side: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of different components in one bucket.  A pair that shares one of the LAST signatures before this bucket's has met
+    there; the least signature that both have always makes it, so none is lost and few come twice."""
+    earlier = F.collect_list("sig").over(Window.partitionBy("node").orderBy("sig").rowsBetween(-LAST, -1))
+    side = side.withColumn("earlier", earlier)
+    x, y = side.alias("x"), side.alias("y")
+    apart = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
+    return x.join(y, apart & _near("x", "y", percent) & ~F.arrays_overlap("x.earlier", "y.earlier")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+
 def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs(doc_id, text, ...)."""
     docs = docs.select("doc_id", "text")
@@ -352,14 +388,21 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = N, percent
     first = keep(spark, first, "join-first")
     links = _verified(spark, docs, nodes, first, n, percent)
     comp = components(spark, reduce(DataFrame.unionAll, links))
-
-    part = keep(spark, members.select("sig", "node").join(comp, "node", "left").select("sig", "node", F.coalesce("comp", "node").alias("comp")), "join-part")
-    drop(members, first, comp)
-    open_ = part.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig")
-    side = keep(spark, part.join(open_, "sig").join(nodes.select("node", "n", "sk"), "node"), "join-side")
-    cross = side.alias("x").join(side.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & _near("x", "y", percent))
-    second = keep(spark, cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "join-second")
-    drop(part, side)
+    drop(first)
+
+    side, seed = _open(spark, members, nodes, comp), 0
+    while seed < STARS and (pairs := _starred(spark, side, percent, seed)) is not None:
+        found = _verified(spark, docs, nodes, pairs, n, percent)
+        drop(pairs)
+        links, seed = links + found, seed + 1
+        if not any(part.limit(1).count() for part in found):
+            break
+        drop(side, comp)
+        comp = components(spark, reduce(DataFrame.unionAll, links))
+        side = _open(spark, members, nodes, comp)
+    drop(members, comp)
+    second = keep(spark, _crossing(side, percent).distinct(), "join-second")
+    drop(side)
     links += _verified(spark, docs, nodes, second, n, percent)
     comp = components(spark, reduce(DataFrame.unionAll, links))
 

@@ -110,6 +110,35 @@ def test_join_against_brute_force(spark, n, percent):
     assert sum(c != d for c, d, _ in want) > 20  # there are links to find
 
 
+def test_pairs_of_a_bucket_come_once(spark):
+    """Nodes that share many signatures make a row for each pair, not one for each pair and signature; no pair is lost."""
+    import random
+    r = random.Random(6)
+    held = {node: range(30) if node < 40 else r.sample(range(30), 9) for node in range(60)}
+    side = spark.createDataFrame([(sig, node, node, 100, [0] * 8) for node, sigs in held.items() for sig in sigs], "sig long, node long, comp long, n long, sk array<long>")
+    got = [tuple(p) for p in ngram_join._crossing(side, 90).collect()]
+    want = {(a, b) for a in held for b in held if a < b and set(held[a]) & set(held[b])}
+    assert set(got) == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("stars", [0, 5])
+def test_wide_buckets_against_brute_force(spark, monkeypatch, stars):
+    """Chains of copies, each a little off the last: members of one bucket in many components."""
+    import random
+    r, texts = random.Random(8), []
+    monkeypatch.setattr(ngram_join, "WIDE", 3)
+    monkeypatch.setattr(ngram_join, "STARS", stars)
+    for length in (60, 200):
+        w = [f"v{r.randrange(900)}" for _ in range(length)]
+        for k in range(60):
+            if k % 20 == 0:
+                w = [f"n{r.randrange(10**6)}" if r.random() < 0.05 else x for x in w]
+            texts.append(" ".join(w))
+            w[r.randrange(length)] = f"n{r.randrange(10**6)}"
+    got = rows(ngram_join.jaccard_components(spark, docs(spark, texts), 3, 90).select("component_id", "doc_id", F.col("n_shingles")))
+    assert got == sorted(brute_components(texts, 3, 90), key=repr)
+
+
 @pytest.mark.parametrize("percent", [80, 90])
 def test_unrelated_sets_share_no_signature_and_linked_ones_do(percent):
     import numpy as np
