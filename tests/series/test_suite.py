@@ -112,3 +112,31 @@ def test_forest_stops_and_majority_vote(spark):
         assert r["predicted"] == min(set(v), key=lambda c: (-v.count(c), c)) and sum(r["probabilities"]) == pytest.approx(1.0)
     with pytest.raises(ValueError, match="vote"):
         forest.predict(model, series, "best")
+
+
+def _leasts(monkeypatch, name, params, q, t):
+    """Least distances by _between, of _plain numpy, and the share of pairs that the exact kernel took."""
+    taken, kernel = [], K.DISTANCES[name]
+    monkeypatch.setitem(K.DISTANCES, name, lambda a, b, **p: taken.append(len(a)) or kernel(a, b, **p))
+    block = lambda x, at: [{"series_id": at + i, "label": "a", "values": v} for i, v in enumerate(x)]
+    got = np.concatenate([d for _, d in N._between(block(q, 0), block(t, 7), name, params, True)])
+    want = kernel(np.repeat(q, len(t), axis=0), np.tile(t, (len(q), 1)), **params).reshape(len(q), len(t))
+    same = np.arange(len(q))[:, None] == 7 + np.arange(len(t))[None, :]
+    want[same] = np.nan
+    assert (np.isnan(got) == np.isnan(want)).all()
+    got, want = np.where(np.isnan(got), np.inf, got), np.where(np.isnan(want), np.inf, want)
+    least = want.min(axis=1, keepdims=True)
+    assert (got.min(axis=1, keepdims=True) == least).all() and ((got == least) == (want == least)).all()
+    return sum(taken) / want.size
+
+
+def _sets(params):
+    return [{"window": w, "cfe": e} for w in params for e in (2.0, 1.0, 0.5)]
+
+
+@pytest.mark.parametrize("name,params", [("dtw", p) for p in _sets((3, None))])
+def test_banded_search_takes_few_exact_distances(monkeypatch, name, params):
+    rng = np.random.default_rng(3)
+    assert _leasts(monkeypatch, name, params, rng.normal(size=(90, 40)), rng.normal(size=(110, 40))) < 0.05
+    for q in (rng.integers(0, 2, (60, 5)).astype(float), np.zeros((5, 4)), 1e-120 * rng.normal(size=(9, 6)), 1e200 * rng.normal(size=(9, 6)), rng.normal(size=(20, 1)) * 1e30):
+        _leasts(monkeypatch, name, params, q, np.concatenate([q, -q]))
