@@ -140,3 +140,9 @@ def test_banded_search_takes_few_exact_distances(monkeypatch, name, params):
     assert _leasts(monkeypatch, name, params, rng.normal(size=(90, 40)), rng.normal(size=(110, 40))) < 0.05
     for q in (rng.integers(0, 2, (60, 5)).astype(float), np.zeros((5, 4)), 1e-120 * rng.normal(size=(9, 6)), 1e200 * rng.normal(size=(9, 6)), rng.normal(size=(20, 1)) * 1e30):
         _leasts(monkeypatch, name, params, q, np.concatenate([q, -q]))
+
+
+@pytest.mark.parametrize("window", [0, 2, 4])
+def test_windows_of_loocv_take_few_exact_distances(monkeypatch, window):
+    rng = np.random.default_rng(4)
+    assert _leasts(monkeypatch, "dtw", {"window": window}, rng.normal(size=(90, 64)), rng.normal(size=(110, 64))) < 0.05
