@@ -146,3 +146,11 @@ def test_banded_search_takes_few_exact_distances(monkeypatch, name, params):
 def test_windows_of_loocv_take_few_exact_distances(monkeypatch, window):
     rng = np.random.default_rng(4)
     assert _leasts(monkeypatch, "dtw", {"window": window}, rng.normal(size=(90, 64)), rng.normal(size=(110, 64))) < 0.05
+
+
+@pytest.mark.parametrize("cfe", [1.0, 1.5, 0.666666, 2.0, 0.5, 3.0])
+def test_direct_search_takes_few_exact_distances(monkeypatch, cfe):
+    rng = np.random.default_rng(5)
+    assert _leasts(monkeypatch, "directa", {"cfe": cfe}, rng.normal(size=(300, 40)), rng.normal(size=(310, 40))) < 0.05
+    for q in (rng.integers(0, 2, (60, 5)).astype(float), np.zeros((5, 4)), 1e-120 * rng.normal(size=(9, 6)), rng.normal(size=(20, 1)) * 1e30):
+        _leasts(monkeypatch, "directa", {"cfe": cfe}, q, np.concatenate([q, -q]))
