@@ -227,3 +227,30 @@ def test_numbers_follow_file_order(spark, tmp_path):
     for i in range(3):
         ids = [r["series_id"] for r in sorted(got, key=lambda r: r["values"][0]) if r["values"][0] // 100 == i]
         assert ids == list(range(ids[0], ids[0] + 5))
+
+
+@pytest.mark.parametrize("splitter", ["DA", "DTW", "DTWFull", "WDTW", "LCSS", "ERP", "MSM", "TWE", "ADTW"])
+def test_a_small_node_takes_one_kernel_call(monkeypatch, splitter):
+    """The same distances as one call for each exemplar, also where a node needs several calls."""
+    from seriesforge.functions import kernels as K
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(40, 12)), np.arange(40) % 5
+    options = {"splitters": splitter + ":d1" if splitter == "WDTW" else splitter, "adtw_pairs": 20, "hydra_groups": 4}
+    grower, calls = forest._Grower(np.arange(40), x, y, 5, rng, options), []
+    kernel, transform, params = grower.draw(np.arange(40), splitter)
+    v, run = grower.data[transform], K.DISTANCES[kernel]
+    monkeypatch.setattr(grower, "draw", lambda rows, spec=None: (kernel, transform, params))
+    monkeypatch.setitem(K.DISTANCES, kernel, lambda a, b, **p: calls.append(len(a)) or run(a, b, **p))
+    grower.split(np.arange(40))
+    assert calls == [200]
+    want = np.stack([run(v, np.broadcast_to(v[p], v.shape), **params) for p in (3, 8, 31)], axis=1)
+    for pairs in (7, 4096):
+        monkeypatch.setattr(forest, "PAIRS", pairs)
+        assert (forest.to_exemplars(kernel, v, v[[3, 8, 31]], params) == want).all()
+
+
+def test_every_tree_has_a_task_of_its_own(spark):
+    for n in (1, 8, 13):
+        seats = forest._seats(spark.range(1), n)
+        assert sorted(r["tree"] for r in seats.collect()) == list(range(n))
+        assert {r["count"] for r in seats.repartition(n, "seat").groupBy(F.spark_partition_id().alias("p")).count().collect()} == {1}
