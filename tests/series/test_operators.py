@@ -254,3 +254,56 @@ def test_every_tree_has_a_task_of_its_own(spark):
         seats = forest._seats(spark.range(1), n)
         assert sorted(r["tree"] for r in seats.collect()) == list(range(n))
         assert {r["count"] for r in seats.repartition(n, "seat").groupBy(F.spark_partition_id().alias("p")).count().collect()} == {1}
+
+
+def _counted(monkeypatch):
+    from seriesforge.functions import kernels as K
+    calls = []
+    for name in ("directa", "dtw", "wdtw", "lcss", "erp", "msm", "twe", "adtw"):
+        monkeypatch.setitem(K.DISTANCES, name, lambda a, b, run=K.DISTANCES[name], **p: calls.append(len(a)) or run(a, b, **p))
+    return calls
+
+
+@pytest.mark.parametrize("splitters, try_all", [("pf2", True), ("pf2h", False), ("pf2018", False)])
+def test_nodes_of_a_level_share_kernel_calls(monkeypatch, splitters, try_all):
+    """A tree of many small nodes takes far fewer elastic calls than it has splits, grown or walked, and is the same again."""
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(600, 12)), rng.integers(0, 3, 600)
+    options = {"splitters": splitters, "adtw_pairs": 20, "hydra_groups": 2, "candidates": 2, "max_depth": 64, "min_size": 1, "smooth": False, "try_all": try_all, "min_gini": 0.0, "stop_on_empty": False}
+    trees = []
+    for _ in range(2):
+        grower = forest._Grower(np.arange(600), x, y, 3, np.random.default_rng([1, 2]), options)
+        calls = _counted(monkeypatch)
+        trees.append(grower.grow(np.arange(600)))
+        monkeypatch.undo()
+    tree = trees[0]
+    assert trees[1] == tree
+    inner, todo, leaves = [], [tree], []
+    while todo:
+        node = todo.pop()
+        (inner if "branches" in node else leaves).append(node)
+        todo += node.get("branches", ())
+    elastic = sum(n["kernel"] != "directa" for n in inner)
+    assert len(inner) > 100 and sum(n["size"] for n in leaves) == 600
+    assert len(calls) < len(inner) * (3 if try_all else 2) * 0.8
+    tree = tree | ({"hydra": grower.hydra} if grower.hydra else {})
+    out, weight = np.zeros((600, 3)), np.zeros(600)
+    calls = _counted(monkeypatch)
+    forest.walk(tree, forest.transforms(x, grower.hydra), np.arange(600), out, weight)
+    assert len(calls) < 0.8 * len(inner) and elastic and (weight == 1).all() and np.allclose(out.sum(axis=1), 1)
+
+
+def test_shared_calls_give_each_task_its_own_distances(monkeypatch):
+    """Penalties, thresholds, gaps and weights differ from pair to pair; parts of a task may be in different calls."""
+    from seriesforge.functions import kernels as K
+    rng = np.random.default_rng(7)
+    x, e = rng.normal(size=(50, 12)), rng.normal(size=(9, 12))
+    params = [("adtw", {"cfe": c, "penalty": p}) for c in (1.0, 2.0) for p in (0.0, 0.3, 2.0)] + [("lcss", {"epsilon": p, "window": w}) for p in (0.1, 0.7) for w in (1, 3)]
+    params += [("erp", {"cfe": 2.0, "gap": g, "window": 3}) for g in (0.1, 0.9)] + [("msm", {"cost": c}) for c in (0.1, 1.0)] + [("wdtw", {"cfe": 2.0, "g": g}) for g in (0.1, 0.9)]
+    params += [("twe", {"nu": n, "lam": l}) for n in (1e-4, 0.1) for l in (0.0, 0.5)] + [("dtw", {"cfe": 0.5, "window": w}) for w in (0, 2)] + [("directa", {"cfe": 1.0})] * 2
+    tasks = [forest.Task(k, "default", p, x, rng.choice(50, 7 + i), e, rng.choice(9, 1 + i % 4)) for i, (k, p) in enumerate(params)]
+    for pairs in (5, 64, 4096):
+        monkeypatch.setattr(forest, "PAIRS", pairs)
+        for t, d in zip(tasks, forest.distances(tasks)):
+            want = np.stack([K.DISTANCES[t.kernel](t.x[t.rows], np.broadcast_to(t.exemplars[p], (len(t.rows), 12)), **t.params) for p in t.picks], axis=1)
+            assert np.array_equal(d, want), t.kernel
