@@ -307,3 +307,38 @@ def test_shared_calls_give_each_task_its_own_distances(monkeypatch):
         for t, d in zip(tasks, forest.distances(tasks)):
             want = np.stack([K.DISTANCES[t.kernel](t.x[t.rows], np.broadcast_to(t.exemplars[p], (len(t.rows), 12)), **t.params) for p in t.picks], axis=1)
             assert np.array_equal(d, want), t.kernel
+
+
+def test_only_visited_nodes_make_features(spark, monkeypatch):
+    """One series visits a path of the tree; the exemplars of the other nodes stay series."""
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=(200, 16)), rng.integers(0, 3, 200)
+    options = {"splitters": "HYDRA:HYDRA", "adtw_pairs": 20, "hydra_groups": 4, "candidates": 1, "max_depth": 64, "min_size": 1, "smooth": False, "try_all": False, "min_gini": 0.0, "stop_on_empty": False}
+    made, run = [], forest.features
+    monkeypatch.setattr(forest, "features", lambda v, *a: made.append(len(v)) or run(v, *a))
+    grower = forest._Grower(np.arange(200), x, y, 3, rng, options)
+    tree = grower.grow(np.arange(200))
+    assert sum(made) == 200  # once, for the scaling and the splits
+    tree["hydra"] = grower.hydra
+    made.clear()
+    t = table(spark, [("a", v) for v in x[:1]])
+    model = spark.createDataFrame([(0, json.dumps(tree))], "tree int, model string")
+    assert forest.votes(model, t).count() == 1
+    out, weight = np.zeros((1, 3)), np.zeros(1)
+    forest.walk(tree, forest.transforms(x[:1], grower.hydra), np.arange(1), out, weight)
+    assert weight[0] == 1 and sum(made) <= 1 + 3 * forest.depth(tree) < 1 + 2 * (forest.count_nodes(tree) // 3)
+
+
+def test_counts_take_the_first_of_equal_answers():
+    """As argmax and argmin do, also where windows are all zero, constant or not a number."""
+    from seriesforge.functions.hydra import Hydra
+    x = np.random.default_rng(9).normal(size=(5, 20))
+    x[1], x[2, :10], x[3, 4] = 0, 0, np.nan
+    h = Hydra(20, groups=4, seed=1)
+    want = []
+    for di, d in enumerate(h.dilations):
+        for which, series in enumerate((x, np.diff(x, axis=1))):
+            windows = np.lib.stride_tricks.sliding_window_view(np.pad(series, ((0, 0), (4 * d, 4 * d))), 8 * d + 1, axis=1)[:, :, ::d]
+            answers = np.einsum("stk,gpk->sgpt", windows, h.kernels[di, which])
+            want.append(np.stack([np.eye(8)[pick(answers, axis=2)].sum(axis=2) for pick in (np.argmax, np.argmin)], axis=-1))
+    assert (h.transform(x, by_group=True) == np.concatenate(want, axis=1)).all()
