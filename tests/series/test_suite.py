@@ -154,3 +154,32 @@ def test_direct_search_takes_few_exact_distances(monkeypatch, cfe):
     assert _leasts(monkeypatch, "directa", {"cfe": cfe}, rng.normal(size=(300, 40)), rng.normal(size=(310, 40))) < 0.05
     for q in (rng.integers(0, 2, (60, 5)).astype(float), np.zeros((5, 4)), 1e-120 * rng.normal(size=(9, 6)), rng.normal(size=(20, 1)) * 1e30):
         _leasts(monkeypatch, "directa", {"cfe": cfe}, q, np.concatenate([q, -q]))
+
+
+def test_narrower_windows_are_screened_by_the_widest(monkeypatch):
+    """One search in 32 bits for all windows of an exponent, few exact distances, the plain loop's leasts; also of large and of tiny values."""
+    rng, calls, rough = np.random.default_rng(5), [], []
+    warped, dtw = N._warped, K.dtw
+    monkeypatch.setattr(N, "_warped", lambda *a: rough.append(a[3]) or warped(*a))
+    monkeypatch.setitem(K.DISTANCES, "dtw", lambda a, b, **p: calls.append(len(a)) or dtw(a, b, **p))
+    grid = [{"window": w} for w in (0, 2, 4, 3)] + [{"cfe": 1.0, "window": w} for w in (1, 5)]
+    for scale in (1.0, 1e3, 1e-3):
+        q, t = rng.normal(size=(60, 32)) * scale, rng.normal(size=(110, 32)) * scale
+        t[5] = q[5]
+        block = lambda x, at: [{"series_id": at + i, "label": "a", "values": list(v)} for i, v in enumerate(x)]
+        calls.clear(), rough.clear()
+        got = {p: d for p, _, d in N._between_all(block(q, 0), block(t, 7), "dtw", grid, True)}
+        assert set(rough) == {4, 5} and sum(calls) < 0.25 * len(grid) * 60 * 110
+        for p, params in enumerate(grid):
+            want = dtw(np.repeat(q, 110, axis=0), np.tile(t, (60, 1)), **params).reshape(60, 110)
+            want[np.arange(60)[:, None] == 7 + np.arange(110)[None, :]] = np.nan
+            assert (np.nanmin(got[p], axis=1) == np.nanmin(want, axis=1)).all() and (np.nanargmin(got[p], axis=1) == np.nanargmin(want, axis=1)).all()
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 40])
+def test_band_in_place(n):
+    rng = np.random.default_rng(n)
+    q, t = rng.normal(size=(5, n)), rng.normal(size=(9, n))
+    for window in (0, 1, 2, 5, n, 100, None):
+        got = N._warped(q.T.astype(np.float32), t.T.astype(np.float32), N._cost(1.0), window)
+        assert np.allclose(got, K.dtw(np.repeat(q, 9, axis=0), np.tile(t, (5, 1)), 1.0, window).reshape(5, 9), rtol=1e-4)
