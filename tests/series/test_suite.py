@@ -183,3 +183,23 @@ def test_band_in_place(n):
     for window in (0, 1, 2, 5, n, 100, None):
         got = N._warped(q.T.astype(np.float32), t.T.astype(np.float32), N._cost(1.0), window)
         assert np.allclose(got, K.dtw(np.repeat(q, 9, axis=0), np.tile(t, (5, 1)), 1.0, window).reshape(5, 9), rtol=1e-4)
+
+
+def test_exponents_share_one_pass(monkeypatch):
+    """No search of its own for any exponent of the grid, few exact distances, the plain loop's leasts; also of copies and of other scales."""
+    rng, calls, directa = np.random.default_rng(11), [], K.directa
+    monkeypatch.setattr(N, "_rough", lambda *a: pytest.fail("a pass of its own"))
+    monkeypatch.setitem(K.DISTANCES, "directa", lambda a, b, **p: calls.append(len(a)) or directa(a, b, **p))
+    grid = grids.minkowski_grid() + [{"cfe": 0.6}, {"cfe": 1.9}]
+    for scale in (1.0, 1e3, 1e-6):
+        q = rng.normal(size=(300, 40)) * scale
+        t = np.concatenate([rng.normal(size=(300, 40)) * scale, q[:5], q[:3], np.zeros((2, 40))])
+        q[7] = 0
+        block = lambda x, at: [{"series_id": at + i, "label": "a", "values": list(v)} for i, v in enumerate(x)]
+        calls.clear()
+        for p, part, d in N._between_all(block(q, 0), block(t, 7), "directa", grid, True):
+            lo = part[0]["series_id"]
+            want = np.stack([directa(np.broadcast_to(v, t.shape), t, grid[p]["cfe"]) for v in q[lo:lo + len(part)]])
+            want[np.arange(lo, lo + len(part))[:, None] == 7 + np.arange(len(t))[None, :]] = np.nan
+            assert (np.nanmin(d, axis=1) == np.nanmin(want, axis=1)).all() and (np.nanargmin(d, axis=1) == np.nanargmin(want, axis=1)).all()
+        assert sum(calls) < 0.15 * len(grid) * len(q) * len(t)
