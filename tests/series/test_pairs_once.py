@@ -58,3 +58,9 @@ def test_both_ways_take_few_exact_distances(monkeypatch):
     assert sum(calls) < 0.05 * 600 * 500
     want = np.stack([dtw(np.broadcast_to(v, t.shape), t, window=3) for v in q])
     assert (near.d == want.min(axis=0)).all() and (near.at == want.argmin(axis=0)).all()
+
+
+def test_nn1_cdtw_searches_one_table(spark, monkeypatch):
+    seen, run = [], N.nearest
+    monkeypatch.setattr(N, "nearest", lambda queries, train, *a, **o: seen.append(queries is train) or run(queries, train, *a, **o))
+    assert catalog.QUERIES["nn1_cdtw"](spark, DATA).count() == 500 and seen == [True]
